@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import quality_rules as q10
+from loamgrid.llm import license_scan, quality_rules, sharding
 
 
 def queries() -> dict:
-    return {"op10_quality_rules": q10.op10_quality_rules}
+    return {
+        "op1_sharding": sharding.op1_sharding,
+        "op2_license_scan": license_scan.op2_license_scan,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.ORACLE}
