@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import license_scan, quality_rules, sharding
+from loamgrid.llm import decontaminate, license_scan, quality_rules, secret_scan, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
