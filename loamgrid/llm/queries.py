@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import decontaminate, license_scan, quality_rules, secret_scan, sharding
+from loamgrid.llm import bpe_codec, decontaminate, license_scan, quality_rules, secret_scan, sharding, token_counts
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_bpe_codec": bpe_codec.op7_bpe_codec,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
