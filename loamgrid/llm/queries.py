@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import bpe_codec, decontaminate, license_scan, quality_rules, secret_scan, sharding, token_counts
+from loamgrid.llm import bpe_codec, decontaminate, language_id, license_scan, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 
 
 def queries() -> dict:
@@ -10,9 +10,12 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_secret_scan": secret_scan.op3_secret_scan,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_bpe_codec": bpe_codec.op7_bpe_codec,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+        "op9_language_id": language_id.op9_language_id,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
