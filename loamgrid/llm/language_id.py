@@ -193,7 +193,7 @@ def fit(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: st
         group = group.sort_values(["id", "body"]).head(most_rows)
         return pd.DataFrame({"model": [pickle.dumps(train(group["body"].tolist(), group["y"].tolist()))]})
 
-    made = sample.groupBy(F.lit(1)).applyInPandas(one, "model binary").collect()
+    made = sample.groupBy().applyInPandas(one, "model binary").collect()
     return bytes(made[0][0]) if made else b""
 
 
