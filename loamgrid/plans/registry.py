@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = []
+from loamgrid.plans import retrieval, understanding
+
+_MODULES = [retrieval, understanding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
