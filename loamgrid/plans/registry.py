@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.plans import retrieval, understanding
+from loamgrid.plans import analytics, retrieval, understanding
 
-_MODULES = [retrieval, understanding]
+_MODULES = [retrieval, understanding, analytics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
