@@ -42,12 +42,12 @@ def spelled(piece: str) -> str:
 class Memory(dict):
     """What make() gives for each piece, remembered."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MOST_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, piece: str):
-        if len(self) >= MOST_WORDS:
+        if len(self) >= self.most:
             self.clear()
         found = self[piece] = self.make(piece)
         return found
@@ -57,18 +57,24 @@ class Vocabulary:
     """The parts of the file, and the library's own normalizer and pre-tokenizer for texts beyond Latin letters."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             self.parts = json.load(f)
         model = self.parts["model"]
         self.ids: dict[str, int] = model["vocab"]
-        self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in self.parts["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = {v: k for k, v in self.ids.items()} | {v: k for k, v in self.special.items()}
-        self.library = Tokenizer.from_str(json.dumps(self.parts))
+
+    @functools.cached_property
+    def merges(self) -> list[tuple[str, str]]:
+        return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in self.parts["model"]["merges"]]
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(self.parts))
 
     def bare(self, suffix: str | None):
         """The library's BPE alone, for strings in the byte alphabet; suffix marks the end of a word (None: the string goes on)."""

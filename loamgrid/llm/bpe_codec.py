@@ -9,6 +9,7 @@ has there. Tokens next to each other that are right in one encoding are right in
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ class Codec:
     def __init__(self, v: Vocabulary, leaf: int = 16):
         self.v, self.leaf = v, leaf
         self.ended, self.open = v.bare(v.suffix), v.bare(None)
-        self.pieces = Memory(lambda piece: self.packed(self.halves(spelled(piece), True)))
+        self.pieces = Memory(lambda piece: self.packed(self.halves(spelled(piece), True)), most=250_000)
 
     def whole(self, letters: str, last: bool) -> list[int]:
         return (self.ended if last else self.open).encode(letters, add_special_tokens=False).ids if letters else []
@@ -69,7 +70,7 @@ class Codec:
         return row[0][0]
 
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, "<u4").tobytes(), " ".join(self.v.letters[t] for t in ids)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.v.letters[t] for t in ids)
 
     def text(self, text: str) -> tuple[bytes, str]:
         """Ids (little-endian unsigned 32-bit integers) and what they decode to."""
@@ -120,7 +121,8 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", carry: list[st
     def whole(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path)
         for batch in texts:
-            yield pd.DataFrame([c.text(t) for t in batch], columns=OUTPUT)
+            for k in range(0, len(batch), 500):  # small results, small memory
+                yield pd.DataFrame([c.text(t) for t in batch.iloc[k : k + 500]], columns=OUTPUT)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
