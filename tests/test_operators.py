@@ -91,3 +91,12 @@ def test_tokens(spark):
 
 def test_edge_words(spark):
     assert one(spark, D.key_terms(F.lit("Give Coartem 10mg/kg IM for 3 days, 15-25kg once daily"))) == ["Coartem", "10mg/kg", "25kg", "IM", "15-25kg", "for 3 days", "once daily", "3 days"]
+
+
+def test_clinical_tables(spark):
+    from loamgrid.functions import clinical as C
+
+    say = lambda t: one(spark, U.normalize(F.lit(t), C.LOCAL_PHRASES, C.WORDS))
+    assert say("My pikin dey hot, complicated malaria") == "My child fever, severe malaria"
+    assert say("uncomplicated malarya! no") == "uncomplicated malaria no"
+    assert one(spark, U.narrative_terms(F.lit("the baby is throwing up and has loose stools"), C.SYMPTOMS, ["the"], ["baby"])) == "diarrhea watery stool vomiting baby"
