@@ -25,10 +25,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    keyed = docs.withColumns({"__k1": F.xxhash64("text"), "__k2": F.xxhash64(F.lit(1), "text")})
-    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["__k1", "__k2"])
-    found = written(found.select("__k1", "__k2").distinct(), "found")
-    return keyed.join(broadcast_if_small(found, 300_000), ["__k1", "__k2"], "left_anti").select(docs.columns)
+    keyed = docs.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text")})
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["__a", "__b"])
+    found = written(found.select("__a", "__b").distinct(), "found")
+    return keyed.join(broadcast_if_small(found, 300_000), ["__a", "__b"], "left_anti").select(docs.columns)
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import broadcast_if_small, text_of
+from loamgrid.llm.common import broadcast_if_small, text_of, written
 
 SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -34,12 +34,12 @@ def _shingle_texts(words: str, k: int) -> Column:
 
 
 def _with_fingerprint(df: DataFrame, words: str) -> DataFrame:
-    """Adds fingerprint: the 64-bit SimHash of the words, each weighing as often as it stands there."""
+    """Adds fingerprint: the 64-bit SimHash of the words, each weighing as often as it stands there; never null, or Catalyst would test it for null far below, on every row."""
     df = df.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
     ones = lambda b: F.aggregate("__hashes", F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long")))
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * ones(b) > F.size("__hashes"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     df = df.withColumn("__bits", bits)
-    return df.withColumn("fingerprint", F.aggregate("__bits", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))).drop("__hashes", "__bits")
+    return df.withColumn("fingerprint", F.coalesce(F.aggregate("__bits", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)), F.lit(0).cast("long"))).drop("__hashes", "__bits")
 
 
 def _with_block(df: DataFrame, blocks: int) -> DataFrame:
@@ -69,29 +69,38 @@ def decontaminate(
     document has). Candidates are all items of the window's length whose 64-bit fingerprint differs in fewer than
     `blocks` bits; a pair counts if the weighted Jaccard similarity of the k-word shingles (weight: number of times a
     shingle stands there) is at least `least`. Null and empty texts and items of fewer than k words match nothing.
-    Equal ids stay apart as rows; items of equal text are all reported; a null item_id is reported as null.
-    benchmark is broadcast up to most_broadcast shingles (counted), joined by shuffle beyond.
+    Rows equal in the carried columns and the text are reported once; items of equal text are all reported; a null item_id is reported as null.
+    Shingles of the benchmark and the places found are
+    broadcast up to most_broadcast rows (counted), joined by shuffle beyond. Texts are told apart by two 64-bit hashes.
     """
     carry = carry or ["doc_id"]
     items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item")).filter(F.size("item") >= k)
-    places = items.select(F.size("item").alias("m"), F.posexplode(_shingle_hashes("item", k)).alias("at", "h")).distinct()
-    rows = docs.select(*carry, F.monotonically_increasing_id().alias("__row"), _words(text).alias("words"))
-    rows = rows.withColumn("__shingles", _shingle_hashes("words", k))
-    hits = rows.select(*carry, "__row", "words", F.posexplode("__shingles").alias("pos", "h")).join(broadcast_if_small(places, most_broadcast), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("words") - F.col("m")))
-    windows = hits.withColumn("start", start).select(*carry, "__row", "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("window")).distinct()
+    places = items.select(F.xxhash64("item").alias("of"), F.size("item").alias("m"), F.posexplode(_shingle_hashes("item", k)).alias("at", "h")).distinct()
+    key = {"__k1": F.xxhash64(text_of(text)), "__k2": F.xxhash64(F.lit(1), text_of(text))}
+    # Only numbers are exploded; the words of a text beside each of its shingles would cost the square of its length.
+    rolled = docs.select(*[v.alias(k) for k, v in key.items()], _words(text).alias("words")).withColumns({"n": F.size("words"), "__shingles": _shingle_hashes("words", k)})
+    spread = rolled.select("__k1", "__k2", "n", "__shingles").select("__k1", "__k2", "n", F.posexplode_outer("__shingles").alias("pos", "h"))
+    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m")))
+    met = spread.join(broadcast_if_small(places, most_broadcast), "h").groupBy("__k1", "__k2", "of", "m").agg(F.count(F.lit(1)).alias("shared"), F.collect_set(start).alias("start"))
+    # A window that is similar enough shares at least this part of the item's shingles, so fewer hits in a text rule the item out.
+    met = met.filter(F.col("shared") >= least * (F.col("m") - k + 1) - 1e-9)
+    starts = written(met.select("__k1", "__k2", "m", F.explode("start").alias("start")).distinct(), "starts")
+    hits = docs.withColumns(key).select(*carry, "__k1", "__k2", text_of(text).alias("__text")).join(broadcast_if_small(starts, most_broadcast), ["__k1", "__k2"]).withColumn("words", _words("__text"))
+    own = list(dict.fromkeys([*carry, "__k1", "__k2"]))
+    windows = hits.select(*own, "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("window")).distinct()
     marked = _with_block(_with_fingerprint(windows, "window"), blocks)
     known = _with_block(_with_fingerprint(items.withColumn("m", F.size("item")), "item"), blocks).withColumnRenamed("fingerprint", "item_print")
     near = marked.join(broadcast_if_small(known.select("item_id", "m", "item", "item_print", "block"), most_broadcast), ["m", "block"])
     near = near.filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) < blocks)
-    pairs = near.select(*carry, "__row", "m", "start", "window", "item_id", "item").distinct()
-    pairs = pairs.withColumns({"a": _shingle_texts("window", k), "b": _shingle_texts("item", k)}).filter(F.arrays_overlap("a", "b"))
+    pairs = near.select(*own, "m", "start", "window", "item_id", "item").distinct()
+    pairs = pairs.withColumns({"a": _shingle_texts("window", k), "b": _shingle_texts("item", k)})
     pairs = pairs.withColumn("all", F.array_union("a", "b"))
     count = lambda c, s: F.size(c) - F.size(F.array_remove(c, s))
     added = lambda f: F.aggregate("all", F.lit(0), lambda x, s: x + f(count("a", s), count("b", s)))
-    pairs = pairs.withColumn("similarity", added(F.least) / added(F.greatest)).filter(F.col("similarity") >= least)
+    pairs = pairs.withColumn("similarity", added(F.least) / added(F.greatest))
+    # The threshold comes after the aggregation: as a filter before it, Catalyst would push it into the join, arrays and all.
     best = F.max_by(F.struct("start", F.size("window").alias("n_words"), "similarity"), F.struct("similarity", (-F.col("start")).alias("first")))
-    return pairs.groupBy(*carry, "__row", "item_id").agg(best.alias("best")).select(*carry, "item_id", "best.*")
+    return pairs.groupBy(*own, "item_id").agg(best.alias("best")).filter(F.col("best.similarity") >= least).select(*carry, "item_id", "best.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
