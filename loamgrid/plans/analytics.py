@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions import tokens as T
+from loamgrid.functions import understanding as U
 from loamgrid.operators import analytics as A
 from loamgrid.operators import decide as D
 from loamgrid.operators import retrieval as R
 from loamgrid.operators import sessions as S
 from loamgrid.plans.retrieval import table
 from loamgrid.plans.understanding import CATEGORIES
-from loamgrid.functions import understanding as U
+from loamgrid.sources import bundle as B
 
 DOSES = [(1, 5.0, 15.0, "1 tablet"), (2, 15.0, 25.0, "2 tablets"), (3, 25.0, 35.0, "3 tablets"), (4, 35.0, None, "4 tablets")]
 WARNINGS = [(1, None, 2, "refer newborn"), (2, 3, 6, "half dose")]
@@ -222,6 +222,15 @@ def session_replay(spark, sf_dir):
     return S.replay(asked.select("conv_id", "turn", "query_id"), lists, edges, keep)
 
 
+def bundle_scan(spark, sf_dir):
+    """Every document as a bundle of one chunk, written as its entries and read back by the chunk scan; Spanish ones are spoilt on purpose, which the scan drops."""
+    body = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("faq").alias("type"), F.struct(F.struct(F.col("text").alias("answer")).alias("en")).alias("content"), F.array("source").alias("aspects")))
+    line = F.when(F.col("lang") != "es", body).otherwise(F.lit("not json"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("bundle"), F.lit("chunks.jsonl").alias("path"), F.encode(line, "UTF-8").alias("bytes"))
+    found = B.chunks(files)
+    return found.select(F.col("id").cast("long").alias("doc_id"), F.length(F.get_json_object("content", "$.en.answer")).cast("long").alias("n_chars"), F.get("aspects", 0).alias("aspect"))
+
+
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir, or a temporary folder in local mode where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -237,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_build, session_build, fifo_batch, ack_prefix, sync_summary, throttle_errors, query_log_ring, quality_report, dataset_stats, value_counts_pct, top_categories, domain_rollup, dq_checks, category_sample, scorecard,
-        dose_bracket, age_override, sentiment_mode3, turn_buffer8, topic_stack, slot_ttl, topic_cascade, drift, gap_detect, fallback_topic, answer_select, generation_decision, golden_set, chips, tree_walk, session_replay,
+        dose_bracket, age_override, sentiment_mode3, turn_buffer8, topic_stack, slot_ttl, topic_cascade, drift, gap_detect, fallback_topic, answer_select, generation_decision, golden_set, chips, tree_walk, session_replay, bundle_scan,
     )
 }
 
@@ -251,6 +260,7 @@ _TV = ", ".join(f"({o}, '{t}')" for o, t in TOPICS)
 _STACK = f"WITH {_T}, c AS (SELECT *, CASE WHEN lag(topic) OVER w IS NULL OR lag(topic) OVER w <> topic THEN topic END AS ch FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), k AS (SELECT *, list_slice(list_reverse(list(ch) FILTER (ch IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn)), 1, 5) AS stack FROM c)"
 
 ORACLES = {
+    "bundle_scan": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, source AS aspect FROM documents WHERE lang <> 'es'",
     "event_build": "SELECT event_id, sha256(CAST(user_id AS VARCHAR) || 'salt') AS user_hash, event_type, len(string_split_regex(trim(props), '\\s+')) AS n_words, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "session_build": """WITH s AS (SELECT user_id AS session, CAST(floor((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000) AS BIGINT) AS seconds, count(*) AS messages, count(DISTINCT event_type) AS topics FROM events GROUP BY user_id)
 SELECT *, CASE WHEN seconds < 60 THEN CAST(seconds AS VARCHAR) || 's' ELSE CAST(seconds // 60 AS VARCHAR) || 'm ' || CAST(seconds % 60 AS VARCHAR) || 's' END AS lasted FROM s""",
