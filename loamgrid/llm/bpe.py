@@ -57,30 +57,35 @@ class Vocabulary:
     """The parts of the file, and the library's own normalizer and pre-tokenizer for texts beyond Latin letters."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.parts = json.load(f)
-        model = self.parts["model"]
+        self.path = path
+        parts = self.parts()
+        model = parts["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.special = {t["content"]: t["id"] for t in self.parts["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = {v: k for k, v in self.ids.items()} | {v: k for k, v in self.special.items()}
 
+    def parts(self) -> dict:
+        """The file's content, read anew: workers live on, and need not hold it."""
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
     @functools.cached_property
     def merges(self) -> list[tuple[str, str]]:
-        return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in self.parts["model"]["merges"]]
+        return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in self.parts()["model"]["merges"]]
 
     @functools.cached_property
     def library(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_str(json.dumps(self.parts))
+        return Tokenizer.from_file(self.path)
 
     def bare(self, suffix: str | None):
         """The library's BPE alone, for strings in the byte alphabet; suffix marks the end of a word (None: the string goes on)."""
         from tokenizers import Tokenizer
 
-        parts = self.parts | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
+        parts = self.parts() | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
         return Tokenizer.from_str(json.dumps(parts | {"model": parts["model"] | {"end_of_word_suffix": suffix}}))
 
     def pieces(self, text: str) -> list[str]:

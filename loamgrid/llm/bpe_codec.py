@@ -30,7 +30,7 @@ class Codec:
     def __init__(self, v: Vocabulary, leaf: int = 16):
         self.v, self.leaf = v, leaf
         self.ended, self.open = v.bare(v.suffix), v.bare(None)
-        self.pieces = Memory(lambda piece: self.packed(self.halves(spelled(piece), True)), most=250_000)
+        self.pieces = Memory(lambda piece: self.packed(self.halves(spelled(piece), True)), most=150_000)
 
     def whole(self, letters: str, last: bool) -> list[int]:
         return (self.ended if last else self.open).encode(letters, add_special_tokens=False).ids if letters else []
@@ -123,6 +123,7 @@ def bpe_encode(docs: DataFrame, path: str, *, text: str = "text", carry: list[st
         for batch in texts:
             for k in range(0, len(batch), 500):  # small results, small memory
                 yield pd.DataFrame([c.text(t) for t in batch.iloc[k : k + 500]], columns=OUTPUT)
+        c.pieces.clear()  # the worker lives on and may serve other stages
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)

@@ -136,16 +136,22 @@ def ngram_join(
     carry = carry or docs.columns
     depth = prefix_depth(threshold, recall)
 
+    def parts(texts: Iterator[pd.Series]) -> Iterator[list[str]]:
+        """Lists of few texts, so that their shingles take little memory."""
+        for batch in texts:
+            for i in range(0, len(batch), 500):
+                yield batch.iloc[i : i + 500].tolist()
+
     @F.pandas_udf("key binary, n long, sig binary")
     def signed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = [(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), len(s), signature(s, TREES * DEPTH).tobytes()) if len(s) else (None, 0, None) for s in shingle_sets(batch.tolist(), k)]
+        for batch in parts(texts):
+            rows = [(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest(), len(s), signature(s, TREES * DEPTH).tobytes()) if len(s) else (None, 0, None) for s in shingle_sets(batch, k)]
             yield pd.DataFrame(rows, columns=["key", "n", "sig"])
 
     @F.pandas_udf("binary")
     def shingled(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(batch.tolist(), k)], dtype=object)
+        for batch in parts(texts):
+            yield pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(batch, k)], dtype=object)
 
     def alike(groups: pd.Series) -> pd.Series:
         return pd.Series([_alike(list(g), threshold - margin) for g in groups], dtype=object)
