@@ -15,20 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import text_of, without
-from loamgrid.llm.shingles import BASE, mixed
+from loamgrid.llm.shingles import run_hashes
 
 BUCKETS, SHAPES, WIDTH, HIDDEN = 1 << 14, 64, 48, 24
 LAGS = (1, 2, 3, 4, 6)
-FEATURES = 2 * WIDTH + len(LAGS) + 1
+FEATURES = 2 * WIDTH + len(LAGS) + 1 + SHAPES
 #: Byte classes: white space 0, small and non-ASCII letters 1, capitals 2, digits 3, other signs 4.
 CLASS = np.array([1 if b >= 128 or chr(b).islower() else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 0 if b <= 32 else 4 for b in range(256)], np.int8)
-#: Tokens of more bytes than this are told apart by class and length only.
-LONGEST = 5
 
 
-
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of the text) of every token; a token is a run of bytes of one class."""
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, shape, index of the text) of every token. A token is a run of bytes of one class; all its bytes choose its bucket, its class and length its shape."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     kind = CLASS[data]
@@ -36,14 +33,10 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins, lengths = cut[:-1], np.diff(cut)
     seen = kind[begins] > 0
     begins, lengths = begins[seen], lengths[seen]
-    value = np.zeros(len(begins), np.uint64)
-    for j in range(LONGEST):
-        more = lengths > j
-        value[more] = value[more] * BASE + data[begins[more] + j] + np.uint64(1)
-    short = (mixed(value) % np.uint64(BUCKETS)).astype(np.int64)
-    shape = BUCKETS + kind[begins].astype(np.int64) * (SHAPES // 8) + np.minimum(np.log2(lengths).astype(np.int64), SHAPES // 8 - 1)
+    bucket = (run_hashes(data, begins, begins + lengths) % np.uint64(BUCKETS)).astype(np.int64)
+    shape = kind[begins].astype(np.int64) * (SHAPES // 8) + np.minimum(np.log2(lengths).astype(np.int64), SHAPES // 8 - 1)
     owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), begins, side="right")
-    return np.where(lengths > LONGEST, shape, short), owner
+    return bucket, shape, owner
 
 
 def _groups(texts: list[str], most_bytes: int = 1 << 20) -> Iterator[list[str]]:
@@ -60,28 +53,27 @@ def _groups(texts: list[str], most_bytes: int = 1 << 20) -> Iterator[list[str]]:
 
 def word_vectors(texts: list[str], around: int = 2) -> np.ndarray:
     """Unit vectors of all buckets; zero for one that the texts don't have."""
-    n = BUCKETS + SHAPES
     rng = np.random.default_rng(8)
-    index = rng.choice(np.array([-1, 0, 1], np.float32), (n, WIDTH), p=[0.06, 0.88, 0.06])
-    sums = np.zeros((n, WIDTH))
+    index = rng.choice(np.array([-1, 0, 1], np.float32), (BUCKETS, WIDTH), p=[0.06, 0.88, 0.06])
+    sums = np.zeros((BUCKETS, WIDTH))
     for group in _groups(texts):
-        t, owner = tokens(group)
+        t, _, owner = tokens(group)
         near = np.zeros((len(t), WIDTH), np.float32)
         for d in range(1, around + 1):
             same = (owner[d:] == owner[:-d])[:, None]
             near[d:] += index[t[:-d]] * same
             near[:-d] += index[t[d:]] * same
         for k in range(WIDTH):
-            sums[:, k] += np.bincount(t, near[:, k], n)
+            sums[:, k] += np.bincount(t, near[:, k], BUCKETS)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the word vectors of each text, the shares of tokens that stand LAGS places before too, and the log of their number; zeros for a text without tokens."""
+    """Mean and mean square of the word vectors of each text, the shares of tokens that stand LAGS places before too, the log of their number and the share of each shape; zeros for a text without tokens."""
     out = []
     for group in _groups(texts):
-        t, owner = tokens(group)
+        t, shape, owner = tokens(group)
         n = np.bincount(owner, minlength=len(group))
         row = np.zeros((len(group), FEATURES), np.float32)
         has = np.flatnonzero(n)
@@ -93,7 +85,8 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
             for k, d in enumerate(LAGS):
                 again = (t[d:] == t[:-d]) & (owner[d:] == owner[:-d])
                 row[has, 2 * WIDTH + k] = np.bincount(owner[d:], again, len(group))[has] / n[has]
-            row[has, -1] = np.log(n[has])
+            row[has, 2 * WIDTH + len(LAGS)] = np.log(n[has])
+            row[has, -SHAPES:] = np.bincount(owner * SHAPES + shape, minlength=len(group) * SHAPES).reshape(-1, SHAPES)[has] / n[has, None]
         out.append(row)
     return np.concatenate(out) if out else np.zeros((0, FEATURES), np.float32)
 

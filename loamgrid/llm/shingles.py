@@ -24,15 +24,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up(BASE), up(INVERSE)
 
 
+def run_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes from each begin to its end, whatever their number: differences of rolling sums."""
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
+    return mixed((sums[ends] - sums[begins]) * down[begins])
+
+
 def _batch(texts: list[str], k: int) -> Iterator[np.ndarray]:
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     inside = WORD_BYTES[data]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
     begins, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    words = mixed((sums[ends] - sums[begins]) * down[begins])
+    words = run_hashes(data, begins, ends)
     text_ends = np.cumsum([len(r) + 1 for r in raw])
     n_words = np.bincount(np.searchsorted(text_ends, begins, side="right"), minlength=len(raw)) if len(begins) else np.zeros(len(raw), int)
     rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)

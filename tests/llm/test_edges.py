@@ -88,6 +88,16 @@ def test_models(docs, spark):
     assert language_id.fit(docs.limit(0)) == quality_classifier.fit(docs.limit(0), labels) == b""
 
 
+def test_long_words_are_told_apart():
+    words = ["alphabet", "mountain", "mountaim", "слово", "книга", "x" * 3000, "y" * 3000]
+    assert len(set(quality_classifier.tokens([" ".join(words)])[0].tolist())) == len(words)
+    alone = [quality_classifier.tokens([w])[0].tolist() for w in words]
+    assert [b for a in alone for b in a] == quality_classifier.tokens([" ".join(words)])[0].tolist()
+    vectors = quality_classifier.word_vectors(["mountain river alphabet forest meadow"])
+    a, b = quality_classifier.pooled(["mountain river", "alphabet meadow"], vectors)
+    assert abs(a - b).max() > 0.01
+
+
 def test_quality_rules(docs):
     out = quality_rules.quality_rules(docs).collect()
     assert len(out) == len(ROWS) and not any(r.kept for r in out)
