@@ -49,28 +49,28 @@ def _roots(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> list[int]:
     return [top(x) for x in range(n)]
 
 
-def _others(i: int, side: np.ndarray) -> np.ndarray:
-    """Which members i is to be compared with: later ones of its own block, or those of the other block."""
-    if side.any() and not side.all():
-        return np.flatnonzero(side) if not side[i] else np.zeros(0, np.int64)
-    return np.arange(i + 1, len(side))
+def _others(i: int, side: np.ndarray, own: bool) -> np.ndarray:
+    """Which members i is to be compared with: later ones if this is a block with itself (own), else those of the other block, which may be empty."""
+    if own:
+        return np.arange(i + 1, len(side))
+    return np.flatnonzero(side) if not side[i] else np.zeros(0, np.int64)
 
 
-def _alike(members: list[dict], least: float) -> list[dict]:
+def _alike(members: list[dict], own: bool, least: float) -> list[dict]:
     """Links between members whose signatures agree in at least this share, as a star around the least of each group."""
     prints = np.array([np.frombuffer(m["sig"], ">u4") for m in members])
     side = np.array([m["side"] for m in members], bool)
 
     def found() -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(members)):
-            j = _others(i, side)
+            j = _others(i, side, own)
             yield i, j[(prints[j] == prints[i]).mean(axis=1) >= least] if len(j) else j
 
     roots = _roots(len(members), found())
     return [{"a": members[k]["row"], "b": members[r]["row"]} for k, r in enumerate(roots) if k != r]
 
 
-def _verified(members: list[dict], threshold: float) -> list[dict]:
+def _verified(members: list[dict], own: bool, threshold: float) -> list[dict]:
     """For each member its links (copies of the other text counted) and the least member that it hangs together with."""
     sets = [np.frombuffer(m["shingles"], "<u8") for m in members]
     side = np.array([m["side"] for m in members], bool)
@@ -81,11 +81,11 @@ def _verified(members: list[dict], threshold: float) -> list[dict]:
     values, owner = values[order], owner[order]
 
     def found() -> Iterator[tuple[int, np.ndarray]]:
-        for i, own in enumerate(sets):
-            j = _others(i, side)
+        for i, values_i in enumerate(sets):
+            j = _others(i, side, own)
             if not len(j):
                 continue
-            begin, end = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            begin, end = np.searchsorted(values, values_i, "left"), np.searchsorted(values, values_i, "right")
             n = end - begin
             at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             shared = np.bincount(owner[at], minlength=len(sets))[j]
@@ -99,12 +99,12 @@ def _verified(members: list[dict], threshold: float) -> list[dict]:
 
 
 def _in_blocks(df: DataFrame, group: str, blocks: Column, *carried: str) -> DataFrame:
-    """df, each row once for every pair of blocks of its group that its own block is in; groups of these have members, with side: whether a member is of the second block."""
+    """df, each row once for every pair of blocks of its group that its own block is in; groups of these have members, with side: whether a member is of the second block, and own: whether the pair is a block with itself."""
     own = df.withColumns({"__n": blocks.cast("int")}).withColumn("__own", F.pmod(F.xxhash64("row"), F.col("__n")).cast("int"))
     own = own.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     member = F.struct("row", *carried, (F.col("__own") > F.col("__other")).cast("int").alias("side"))
     low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
-    return own.groupBy(group, low.alias("__low"), high.alias("__high")).agg(F.sort_array(F.collect_list(member)).alias("members"))
+    return own.groupBy(group, low.alias("__low"), high.alias("__high")).agg(F.sort_array(F.collect_list(member)).alias("members")).withColumn("own", F.col("__low") == F.col("__high"))
 
 
 def ngram_join(
@@ -153,11 +153,11 @@ def ngram_join(
         for batch in parts(texts):
             yield pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(batch, k)], dtype=object)
 
-    def alike(groups: pd.Series) -> pd.Series:
-        return pd.Series([_alike(list(g), threshold - margin) for g in groups], dtype=object)
+    def alike(groups: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_alike(list(g), o, threshold - margin) for g, o in zip(groups, own, strict=True)], dtype=object)
 
-    def verified(groups: pd.Series) -> pd.Series:
-        return pd.Series([_verified(list(g), threshold) for g in groups], dtype=object)
+    def verified(groups: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_verified(list(g), o, threshold) for g, o in zip(groups, own, strict=True)], dtype=object)
 
     body = text_of(text)
     digest = [F.xxhash64(body), F.xxhash64(F.lit(1), body)]
@@ -174,7 +174,7 @@ def ngram_join(
     subtrees = subtrees.groupBy("size", "x", "low", "high").agg(F.min("tree").alias("tree")).select("tree", "size")
     subtrees = written(subtrees, "subtrees")
     inside = leaves.join(broadcast_if_small(subtrees, most_broadcast), "tree").join(reps.select("row", "sig"), "row")
-    compared = _in_blocks(inside, "tree", F.ceil(F.col("size") / block), "sig").select(F.explode(F.pandas_udf(alike, "array<struct<a:long,b:long>>")("members")).alias("l")).select("l.*")
+    compared = _in_blocks(inside, "tree", F.ceil(F.col("size") / block), "sig").select(F.explode(F.pandas_udf(alike, "array<struct<a:long,b:long>>")("members", "own")).alias("l")).select("l.*")
     groups = components(compared)
 
     # Exact similarities inside each group.
@@ -186,7 +186,7 @@ def ngram_join(
     found = docs.select(digest[0].alias("t1"), digest[1].alias("t2"), body.alias("body")).join(broadcast_if_small(texts.select("t1", "t2").distinct(), most_broadcast), ["t1", "t2"], "left_semi")
     sets = found.groupBy("t1", "t2").agg(F.first("body").alias("body")).select("t1", "t2", shingled("body").alias("shingles"))
     held = texts.join(sets, ["t1", "t2"]).select("row", "root", "copies", "blocks", "shingles")
-    checked = _in_blocks(held, "root", F.col("blocks"), "copies", "shingles").select(F.explode(F.pandas_udf(verified, "array<struct<row:long,links:long,root:long>>")("members")).alias("v")).select("v.*")
+    checked = _in_blocks(held, "root", F.col("blocks"), "copies", "shingles").select(F.explode(F.pandas_udf(verified, "array<struct<row:long,links:long,root:long>>")("members", "own")).alias("v")).select("v.*")
     checked = written(checked, "checked")
     links = checked.groupBy("row").agg(F.sum("links").alias("links"))
     classes = components(checked.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")

@@ -71,6 +71,17 @@ def test_ngram_join(spark, block):
     assert sorted(r.class_id for r in got if r.kept) == sorted({r.class_id for r in got})
 
 
+def test_ngram_join_with_empty_blocks(spark):
+    texts = []
+    for c in range(8):
+        base = [f"{c}x{i}" for i in range(300)]
+        texts += [" ".join(base), " ".join(base[:-2]), *[" ".join(base + [f"{c}y{i}"]) for i in range(c % 2)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (500, 100):
+        got = ngram_join.ngram_join(docs, block_shingles=most).collect()
+        assert {r.doc_id: (r.class_id, r.n_links) for r in got} == dict(enumerate(linked(texts)))
+
+
 def test_depth_shortens_until_the_recall_is_met():
     assert ngram_join.prefix_depth(0.8, 0.999) == 4 and ngram_join.prefix_depth(0.8, 0.5) > 4
 
