@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import text_of, without, written
+from loamgrid.llm.common import broadcast_if_small, text_of, without, written
 
 # The three base patterns and the least length of what counts.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -54,26 +54,43 @@ def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def secret_scan(
-    docs: DataFrame, *, text: str = "text", owner: str = "source", repository: str = "doc_id", carry: list[str] | None = None, most_owners: int = 2, most_repositories: int = 50
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    owner: str = "source",
+    repository: str = "doc_id",
+    carry: list[str] | None = None,
+    most_owners: int = 2,
+    most_repositories: int = 50,
+    owner_share: float = 0.2,
+    repository_share: float = 0.2,
+    most_broadcast: int = 300_000,
 ) -> DataFrame:
     """The rows of docs with secrets: array of (kind, start, end, value, owners, repositories, live), in order of start
     and kind. carry names the input columns to keep (all by default); an input column named secrets gives way.
 
     value is a hash. owners and repositories count, over the whole corpus, the distinct owners and (owner, repository)
-    pairs that carry the value (null is a value of its own); live: at most most_owners owners and most_repositories
-    repositories. Candidates of the three base kinds are all kept; one of kind owned is kept only if it is live. Null
+    pairs that carry the value (null is a value of its own). live: the value is of one owner, however often it stands
+    there; or its owners are at most owner_share of the corpus's owners, and the distinct texts that carry it at most
+    repository_share of the repositories of its owners. In a small corpus most_owners owners and most_repositories
+    texts are never too many. Candidates of the three base kinds are all kept; one of kind owned is kept only if it is live. Null
     and empty texts have none; rows with equal ids are scanned one by one and count as one repository.
     """
     docs = without(docs, "secrets")
     carry = carry or docs.columns
-    scanned = docs.select(*carry, F.col(owner).alias("__owner"), F.col(repository).alias("__repository"), F.monotonically_increasing_id().alias("__row"), F.pandas_udf(_spans, SPANS)(text_of(text)).alias("__found"))
+    scanned = docs.select(*carry, F.col(owner).alias("__owner"), F.col(repository).alias("__repository"), F.monotonically_increasing_id().alias("__row"), F.xxhash64(text_of(text)).alias("__text"), F.pandas_udf(_spans, SPANS)(text_of(text)).alias("__found"))
     scanned = written(scanned, "scanned")
     some = F.size("__found") > 0
-    spans = scanned.filter(some).select("__row", "__owner", "__repository", F.posexplode("__found").alias("__at", "span")).select("__row", "__at", "__owner", "__repository", "span.*")
+    spans = scanned.filter(some).select("__row", "__owner", "__repository", "__text", F.posexplode("__found").alias("__at", "span")).select("__row", "__at", "__owner", "__repository", "__text", "span.*")
     repos = spans.select("value", "__owner", "__repository").distinct()
     owners = repos.groupBy("value", "__owner").agg(F.count(F.lit(1)).alias("repositories"))
-    held = owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    sizes = written(scanned.select("__owner", "__repository").distinct().groupBy("__owner").agg(F.count(F.lit(1)).alias("size")), "owners").withColumnRenamed("__owner", "__known")
+    owners = owners.join(broadcast_if_small(sizes, most_broadcast), F.col("__owner").eqNullSafe(F.col("__known")))
+    held = owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("size").alias("size"))
+    held = held.join(spans.select("value", "__text").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("texts")), "value")
+    few_owners = F.col("owners") <= max(most_owners, owner_share * sizes.count())
+    few_texts = F.col("texts") <= F.greatest(F.lit(most_repositories), repository_share * F.col("size"))
+    live = (F.col("owners") == 1) | (few_owners & few_texts)
     judged = spans.join(held, "value").withColumn("live", live).filter((F.col("kind") != "owned") | F.col("live"))
     one = F.struct("__at", "kind", "start", "end", "value", "owners", "repositories", "live")
     listed = judged.groupBy("__row").agg(F.transform(F.sort_array(F.collect_list(one)), lambda s: s.dropFields("__at")).alias("secrets"))

@@ -50,6 +50,21 @@ def test_secret_scan(docs, spark):
     assert cut[0] == copied and cut[9] == "é [SECRET] and [SECRET]"
 
 
+def test_secrets_of_few_owners_stay_live(spark):
+    key = lambda c: f"token={c}Z09aZ09aZ09a and mixedRun{c}1234567890abcXYZ"
+    texts = [(f"note {k} {key('a')}", "s0") for k in range(60)]  # one owner, many texts
+    texts += [(key("b"), f"s{k}") for k in range(3)]  # one text at three of twenty owners
+    texts += [(key("c"), f"s{k % 2}") for k in range(120)]  # copies of one text at two owners
+    texts += [(f"note {k} {key('d')}", f"s{k}") for k in range(15)]  # an example that most owners have
+    texts += [(f"note {k} {key('e')}", f"s{k % 2}") for k in range(200)]  # two owners, most of their texts
+    texts += [(key("f"), None)] * 60 + [("plain", f"s{k}") for k in range(20)]
+    got = secret_scan.secret_scan(spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    assert len(got) == len(texts)
+    live = {c: {(s.kind, s.live) for r in got if f"={c}Z09" in r.text for s in r.secrets} for c in "abcdef"}
+    both, none = {("assign", True), ("owned", True)}, {("assign", False)}
+    assert live == {"a": both, "b": both, "c": both, "d": none, "e": none, "f": both}
+
+
 def test_ngram_join(docs):
     out = ngram_join.ngram_join(docs, carry=["doc_id"]).collect()
     assert len(out) == len(ROWS)
