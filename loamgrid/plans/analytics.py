@@ -207,19 +207,17 @@ def session_replay(spark, sf_dir):
     """Every conversation answered turn by turn from the documents, never the same one twice while there is another."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    asked = turns.select("conv_id", place.cast("long").alias("turn"), (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    asked = turns.select("conv_id", place.cast("long").alias("turn"), F.col("text").alias("query")).withColumn("query_id", F.struct("conv_id", "turn"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    n = iter(range(10_000))
 
-    def keep(df):
-        df.write.parquet(path := f"{folder}/{next(n)}")
+    def keep(df, name):
+        df.write.parquet(path := f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(path)
 
-    postings = R.okapi_postings(docs, R.query_terms(asked))
-    lists = keep(R.ranked(R.bm25(asked, postings), "query_id", k=5).drop("rank"))
-    edges = spark.createDataFrame([], "src long, dst long, ord int, edge_score double")
-    return S.replay(asked.select("conv_id", "turn", "query_id"), lists, edges, keep)
+    asked = keep(asked, "asked")
+    scores = R.bm25(asked, R.okapi_postings(docs, R.query_terms(asked)))
+    return S.replay(asked.select("conv_id", "turn", "query_id"), scores, None, None)
 
 
 def bundle_scan(spark, sf_dir):

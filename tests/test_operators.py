@@ -100,3 +100,21 @@ def test_clinical_tables(spark):
     assert say("My pikin dey hot, complicated malaria") == "My child fever, severe malaria"
     assert say("uncomplicated malarya! no") == "uncomplicated malaria no"
     assert one(spark, U.narrative_terms(F.lit("the baby is throwing up and has loose stools"), C.SYMPTOMS, ["the"], ["baby"])) == "diarrhea watery stool vomiting baby"
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_replay_answers_every_turn(spark, tmp_path, linked):
+    from loamgrid.operators import sessions as S
+
+    n = 12 if linked else 1100
+    asked = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit(7).alias("query_id"))
+    lists = spark.range(n - 2).select(F.lit(7).alias("query_id"), F.col("id").alias("chunk_id"), (1.0 / (F.col("id") + 1)).alias("score"))
+    edges = spark.createDataFrame([(n - 3, 5000, 0, 0.5)], "src long, dst long, ord int, edge_score double") if linked else None
+
+    def keep(df):
+        df.write.mode("append").parquet(str(tmp_path / "done"))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / "done"))
+
+    got = [(r.turn, r.chunk_id, r.route) for r in S.replay(asked, lists, edges, keep).orderBy("turn").collect()]
+    end = [(n - 2, 5000, "graph"), (n - 1, 0, "repeat")] if linked else [(n - 2, 0, "repeat"), (n - 1, 0, "repeat")]
+    assert got == [(k, k, "fresh") for k in range(n - 2)] + end
