@@ -32,6 +32,13 @@ def test_gate_boundaries(spark):
     assert got == {1: True, 2: True, 3: False, 4: True, 5: False}
 
 
+def test_cosine_in_blocks_of_queries(spark):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)]
+    queries, chunks = spark.createDataFrame(rows, "query_id long, embedding array<double>"), spark.createDataFrame(rows[:9], "chunk_id long, embedding array<double>")
+    got = [sorted(tuple(r) for r in R.cosine_scores(queries, chunks, most_broadcast=m).collect()) for m in (40, 16)]
+    assert len(got[0]) == 360 and got[0] == got[1]
+
+
 def test_repeated_tokens_and_postings_count(spark):
     queries = spark.createDataFrame([(1, "fever fever dose")], "query_id int, query string")
     postings = spark.createDataFrame([("fever", "a", 2.0), ("fever", "a", 8.0), ("dose", "b", 1.0)], "term string, chunk_id string, score double")
