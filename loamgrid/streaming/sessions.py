@@ -9,20 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "turns int, buffer array<string>, moods array<string>, topics array<string>"
-OUT = "conv_id long, turn long, n_turns int, buffer string, dominant string, stack string"
-
+from loamgrid.operators.sessions import most_frequent
 
-def _dominant(moods: list[str]) -> str:
-    recent = moods[-3:]
-    return max(recent, key=lambda m: (recent.count(m), -recent.index(m))) if recent else "calm"
+STATE = "turns int, buffer array<string>, moods array<string>, topics array<string>"
+OUT = "conv_id long, turn long, n_turns int, buffer array<string>, recent array<string>, stack array<string>"
 
 
-def conversation_state(turns: DataFrame, idle: str = "1 hour") -> DataFrame:
+def conversation_state(turns: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """One row per incoming turn (conv_id, turn, mood, topic, ts) with the state after it: the last 8 moods, the dominant of the last 3, the last 5 topics.
 
-    State is kept per conversation and dropped after it has been idle; within a micro-batch turns are taken in order.
+    State is kept per conversation and dropped once the watermark (`late` behind the newest ts) has passed the conversation's newest turn by idle; within a micro-batch turns are taken in order. A null ts counts as the watermark's own time.
     """
+    number, unit = idle.split()
+    idle_ms = int(float(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")] * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -30,19 +29,21 @@ def conversation_state(turns: DataFrame, idle: str = "1 hour") -> DataFrame:
             return
         n, buffer, moods, topics = state.get if state.exists else (0, [], [], [])
         buffer, moods, topics, rows = list(buffer), list(moods), list(topics), []
-        for r in pd.concat(list(batches)).sort_values("turn").itertuples():
+        now = pd.concat(list(batches)).sort_values("turn")
+        for r in now.itertuples():
             n += 1
-            buffer, moods = [*buffer, r.mood][-8:], [*moods, r.mood][-5:]
+            buffer, moods = [*buffer, r.mood][-8:], [*moods, r.mood][-3:]
             if not topics or topics[0] != r.topic:
                 topics = [r.topic, *topics][:5]
-            rows.append((key[0], r.turn, n, ",".join(buffer), _dominant(moods), ",".join(topics)))
+            rows.append((key[0], r.turn, n, buffer, moods, topics))
         state.update((n, buffer, moods, topics))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["conv_id", "turn", "n_turns", "buffer", "dominant", "stack"])
+        newest = 0 if now["ts"].isna().all() else int(now["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", "n_turns", "buffer", "recent", "stack"])
 
-    number, unit = idle.split()
-    idle_ms = int(float(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")] * 1000)
-    return turns.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    dated = turns.withWatermark("ts", late).groupBy("conv_id")
+    out = dated.applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("conv_id", "turn", "n_turns", F.array_join("buffer", ",").alias("buffer"), most_frequent(F.col("recent")).alias("dominant"), F.array_join("stack", ",").alias("stack"))
 
 
 def throttled(reports: DataFrame, seconds: int = 300) -> DataFrame:
