@@ -1,9 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows (DataFrame functions only).
 
-A window as long as a benchmark item can only be similar enough to it if they share a word shingle, so windows are laid
-where rolling shingles of a document meet those of an item. Their SimHash fingerprints are cut into blocks; by the
-pigeonhole principle two fingerprints that differ in fewer bits than there are blocks agree in one whole block, so a
-join on blocks finds every item within the radius. What it finds is verified on the shingles themselves.
+The words of a document lie on a grid of blocks of four. Every run of blocks that an item can fill gets a SimHash
+fingerprint of its blocks; counters are kept in bit planes, so that one expression counts all 64 bits at once. An item is
+fingerprinted at all four places that it can have on the grid, so an exact copy meets its own fingerprint wherever it
+stands. Fingerprints are cut into four index blocks; two that differ in at most seven bits agree in one of them but for
+one bit, and the item's side asks for every such value, so the join on index blocks finds all within the radius. What it
+finds is verified on the weighted shingles themselves.
 """
 
 from __future__ import annotations
@@ -14,39 +16,85 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import broadcast_if_small, text_of, written
 
 SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Words of a block of the grid, most blocks of a window, index blocks of a fingerprint.
+BLOCK, MOST, PARTS = 4, 14, 4
+#: Bits in which a window's fingerprint may differ from an item's: one in each index block and one less.
+RADIUS = 2 * PARTS - 1
+WIDTH = 64 // PARTS
+#: Bit planes of the counters, which go up to MOST.
+PLANES = MOST.bit_length()
 
 
 def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(text_of(text)), SPLIT), "")
 
 
-def _rolling(words: str, k: int, make) -> Column:
-    n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), make))
-
-
-def _shingle_hashes(words: str, k: int) -> Column:
-    return _rolling(words, k, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
+def _blocks(words: str) -> Column:
+    """The hash of each full block; never null, or Catalyst would test it for null far below, words and all."""
+    n = F.floor(F.size(words) / BLOCK).cast("int")
+    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i * BLOCK + k) for k in range(BLOCK)]))
+    return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def _shingle_texts(words: str, k: int) -> Column:
-    return _rolling(words, k, lambda i: F.array_join(F.slice(words, i + 1, k), " "))
-
+def _with_fingerprints(df: DataFrame, blocks: str, first: Column, sizes: list[int]) -> DataFrame:
+    """Adds __f2, __f3, ...: the SimHash of so many blocks from the first on, for each of the sizes; a bit is set where more than half of the blocks have it.
 
-def _with_fingerprint(df: DataFrame, words: str) -> DataFrame:
-    """Adds fingerprint: the 64-bit SimHash of the words, each weighing as often as it stands there; never null, or Catalyst would test it for null far below, on every row."""
-    df = df.withColumn("__hashes", F.transform(words, lambda w: F.xxhash64(w)))
-    ones = lambda b: F.aggregate("__hashes", F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long")))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * ones(b) > F.size("__hashes"), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    df = df.withColumn("__bits", bits)
-    return df.withColumn("fingerprint", F.coalesce(F.aggregate("__bits", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)), F.lit(0).cast("long"))).drop("__hashes", "__bits")
+    Plane c of the counters holds bit c of all 64 counts; adding a block is a chain of carries.
+    """
+    kept = df.columns
+    zero = F.lit(0).cast("long")
+    most = max(sizes)
+    df = df.select("*", *[F.coalesce(F.get(blocks, first + i), zero).alias(f"__x{i}") for i in range(most)], *[zero.alias(f"__c{c}") for c in range(PLANES)])
+    for i in range(most):
+        planes, carry = [], F.col(f"__x{i}")
+        for c in range(PLANES):
+            planes.append(F.col(f"__c{c}").bitwiseXOR(carry).alias(f"__c{c}"))
+            carry = F.col(f"__c{c}").bitwiseAND(carry)
+        done = []
+        df = df.select(*kept, *[f"__x{k}" for k in range(i + 1, most)], *planes)
+        if i + 1 in sizes:
+            over, least = F.lit(-1).cast("long"), (i + 1) // 2 + 1
+            for c in range(PLANES):
+                over = F.col(f"__c{c}").bitwiseAND(over) if least >> c & 1 else F.col(f"__c{c}").bitwiseOR(over)
+            name = f"__f{i + 1}"
+            done = [name]
+            df = df.withColumn(name, over)
+        kept = [*kept, *done]
+    return df.select(*kept)
+
+
+def _keys(print_: Column, blocks: Column, flips: bool) -> Column:
+    """Keys of the index blocks, told apart by window size and number; flips: also all that differ in one bit."""
+    mask = F.lit((1 << WIDTH) - 1).cast("long")
+    values = [F.shiftrightunsigned(print_, p * WIDTH).bitwiseAND(mask) for p in range(PARTS)]
+    key = lambda p, v: F.shiftleft(blocks.cast("long") * PARTS + p, WIDTH).bitwiseOR(v)
+    changed = [0, *[1 << b for b in range(WIDTH)]] if flips else [0]
+    return F.array(*[key(p, v.bitwiseXOR(F.lit(x).cast("long")) if x else v) for p, v in enumerate(values) for x in changed])
+
+
+def _known(items: DataFrame) -> DataFrame:
+    """(key, print, of, m, ahead, blocks) of every item (of, m, item) at each place that it can have on the grid; ahead: its words before the window.
+
+    A window holds all blocks of the item (of a stretch of MOST blocks, if it is longer), all but the first or the last, or one half of them: a change within the item leaves one half as it is.
+    """
+    here = items.withColumn("__base", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("m") - MOST * BLOCK), F.lit(MOST * BLOCK))))
+    here = here.withColumn("__off", F.explode(F.array(*map(F.lit, range(BLOCK)))))
+    here = here.withColumn("__all", F.least(F.lit(MOST), F.floor((F.col("m") - F.col("__base") - F.col("__off")) / BLOCK).cast("int")))
+    n, half = F.col("__all"), F.floor(F.col("__all") / 2).cast("int")
+    parts = [(F.lit(0), n), (F.lit(1), n - 1), (F.lit(0), n - 1), (F.lit(0), half), (n - half, half)]
+    laid = here.select("of", "m", "item", F.col("__base") + F.col("__off"), F.inline(F.array(*[F.struct(skip.alias("skip"), size.alias("blocks")) for skip, size in parts]))).toDF("of", "m", "item", "base", "skip", "blocks")
+    laid = laid.filter(F.col("blocks") >= 2).withColumn("ahead", F.col("base") + F.col("skip") * BLOCK)
+    laid = laid.withColumn("__w", F.slice("item", F.col("ahead") + 1, F.col("blocks") * BLOCK)).withColumn("__b", _blocks("__w"))
+    sizes = list(range(2, MOST + 1))
+    marked = _with_fingerprints(laid.select("of", "m", "ahead", "blocks", "__b"), "__b", F.lit(0), sizes)
+    marked = marked.withColumn("print", F.element_at(F.array(*[F.col(f"__f{w}") for w in sizes]), F.col("blocks") - 1))
+    return marked.select("of", "m", "ahead", "blocks", "print").distinct().select(F.explode(_keys(F.col("print"), F.col("blocks"), True)).alias("key"), "print", "of", "m", "ahead", "blocks")
 
 
-def _with_block(df: DataFrame, blocks: int) -> DataFrame:
-    """One row per block of the fingerprint: block is its number and its bits."""
-    width = 64 // blocks
-    cut = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.call_function("shiftrightunsigned", F.col("fingerprint"), b * width).bitwiseAND(F.lit(2**width - 1).cast("long")) * blocks + b)
-    return df.withColumn("block", F.explode(cut))
+def _shingle_texts(words: str, k: int) -> Column:
+    """The k-word shingles of a list of words; all its words if they are fewer."""
+    n = F.size(words)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))).otherwise(F.array(F.array_join(words, " ")))
 
 
 def decontaminate(
@@ -59,48 +107,74 @@ def decontaminate(
     item_text: str = "text",
     k: int = 5,
     least: float = 0.8,
-    blocks: int = 16,
-    most_broadcast: int = 200_000,
+    most_broadcast: int = 500_000,
 ) -> DataFrame:
     """One row per row of docs and benchmark item found in it: the carried columns (doc_id), item_id, start and
     n_words of the best window (in words from 0; the first of equals) and its similarity.
 
     Words are runs of letters and digits in lower case. A window has the item's number of words (fewer only if the
-    document has). Candidates are all items of the window's length whose 64-bit fingerprint differs in fewer than
-    `blocks` bits; a pair counts if the weighted Jaccard similarity of the k-word shingles (weight: number of times a
-    shingle stands there) is at least `least`. Null and empty texts and items of fewer than k words match nothing.
-    Rows equal in the carried columns and the text are reported once; items of equal text are all reported; a null item_id is reported as null.
-    Shingles of the benchmark and the places found are
-    broadcast up to most_broadcast rows (counted), joined by shuffle beyond. Texts are told apart by two 64-bit hashes.
+    document ends before). Candidates are the windows in which the fingerprint of the blocks inside, of all but the
+    first or last, or of one half, differs from the item's in at most RADIUS bits; a pair counts if the weighted
+    Jaccard similarity of the k-word shingles (weight: number of times a shingle stands there) is at least `least`. An
+    item of so few shingles that one other word brings it under `least` must stand there word by word and is looked for
+    by a hash of all its words; this holds for items of fewer than k words too. Null and empty texts match nothing.
+    Rows equal in the carried columns and the text are reported once; items of equal text are all reported; a null
+    item_id is reported as null. Carried columns may have any name but those of the result, before which they give way.
+    Fingerprints of the items and places found are broadcast up to most_broadcast rows (counted), joined by shuffle
+    beyond. Texts are told apart by two 64-bit hashes.
     """
-    carry = carry or ["doc_id"]
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item")).filter(F.size("item") >= k)
-    places = items.select(F.xxhash64("item").alias("of"), F.size("item").alias("m"), F.posexplode(_shingle_hashes("item", k)).alias("at", "h")).distinct()
+    carry = [c for c in (carry or ["doc_id"]) if c.lower() not in ("item_id", "start", "n_words", "similarity")]
+    hidden = [f"__carried{i}" for i in range(len(carry))]
+    items = benchmark.select(F.col(item_id).alias("item_id"), _words(item_text).alias("item")).filter(F.size("item") > 0).withColumns({"of": F.xxhash64("item"), "m": F.size("item")})
+    items = written(items, "items")
+    short = k + (1 + least) / max(1 - least, 1e-9) - 1 - 1e-6  # of fewer words than this an item is matched exactly
+    texts = items.select("of", "m", "item").distinct()
+    lengths = sorted(r[0] for r in items.filter(F.col("m") < short).select("m").distinct().collect())  # under `short` numbers
+    known = written(_known(texts.filter(F.col("m") >= short)), "known")
+    sizes = sorted(r[0] for r in known.select("blocks").distinct().collect())  # MOST numbers at most
+
+    # One pass over the words of all texts.
     key = {"__k1": F.xxhash64(text_of(text)), "__k2": F.xxhash64(F.lit(1), text_of(text))}
-    # Only numbers are exploded; the words of a text beside each of its shingles would cost the square of its length.
-    rolled = docs.select(*[v.alias(k) for k, v in key.items()], _words(text).alias("words")).withColumns({"n": F.size("words"), "__shingles": _shingle_hashes("words", k)})
-    spread = rolled.select("__k1", "__k2", "n", "__shingles").select("__k1", "__k2", "n", F.posexplode_outer("__shingles").alias("pos", "h"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m")))
-    met = spread.join(broadcast_if_small(places, most_broadcast), "h").groupBy("__k1", "__k2", "of", "m").agg(F.count(F.lit(1)).alias("shared"), F.collect_set(start).alias("start"))
-    # A window that is similar enough shares at least this part of the item's shingles, so fewer hits in a text rule the item out.
-    met = met.filter(F.col("shared") >= least * (F.col("m") - k + 1) - 1e-9)
-    starts = written(met.select("__k1", "__k2", "m", F.explode("start").alias("start")).distinct(), "starts")
-    hits = docs.withColumns(key).select(*carry, "__k1", "__k2", text_of(text).alias("__text")).join(broadcast_if_small(starts, most_broadcast), ["__k1", "__k2"]).withColumn("words", _words("__text"))
-    own = list(dict.fromkeys([*carry, "__k1", "__k2"]))
-    windows = hits.select(*own, "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("window")).distinct()
-    marked = _with_block(_with_fingerprint(windows, "window"), blocks)
-    known = _with_block(_with_fingerprint(items.withColumn("m", F.size("item")), "item"), blocks).withColumnRenamed("fingerprint", "item_print")
-    near = marked.join(broadcast_if_small(known.select("item_id", "m", "item", "item_print", "block"), most_broadcast), ["m", "block"])
-    near = near.filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) < blocks)
-    pairs = near.select(*own, "m", "start", "window", "item_id", "item").distinct()
-    pairs = pairs.withColumns({"a": _shingle_texts("window", k), "b": _shingle_texts("item", k)})
-    pairs = pairs.withColumn("all", F.array_union("a", "b"))
+    worded = docs.select(*[v.alias(c) for c, v in key.items()], _words(text).alias("__words")).withColumn("__n", F.size("__words"))
+    own = ["__k1", "__k2", "of", "m", "start"]
+    found = []
+    if sizes:
+        # Outer explodes throughout: for others Catalyst infers a filter on the size, which it pushes below the words.
+        # Written first: the planner looks through the long chain of carries again and again, and must not find the words below it.
+        laid = written(worded.select("__k1", "__k2", "__n", _blocks("__words").alias("__b")), "blocks").withColumn("__size", F.size("__b"))
+        laid = laid.withColumn("__j", F.explode_outer(F.sequence(F.lit(0), F.col("__size"))))
+        marked = _with_fingerprints(laid, "__b", F.col("__j"), sizes).drop("__b")
+        # One row per size; unpivoting also keeps the planner's constraints out of the long chain of carries.
+        named = {f"__f{w}": str(w) for w in sizes}
+        marked = marked.withColumnsRenamed(named).unpivot(["__k1", "__k2", "__n", "__j", "__size"], list(named.values()), "__w", "__print")
+        marked = marked.withColumn("__w", F.col("__w").cast("int")).filter(F.col("__j") + F.col("__w") <= F.col("__size"))
+        keyed = marked.withColumn("key", F.explode(_keys(F.col("__print"), F.col("__w"), False)))
+        met = keyed.join(broadcast_if_small(known.drop("blocks"), most_broadcast), "key").filter(F.bit_count(F.col("__print").bitwiseXOR(F.col("print"))) <= RADIUS)
+        start = F.greatest(F.lit(0), F.least(F.col("__j") * BLOCK - F.col("ahead"), F.col("__n") - F.col("m")))
+        found.append(met.select("__k1", "__k2", "of", "m", start.alias("start")))
+    for m in lengths:
+        runs = F.when(F.col("__n") >= m, F.transform(F.sequence(F.lit(0), F.col("__n") - m), lambda i: F.xxhash64(F.slice("__words", i + 1, m))))
+        spread = worded.select("__k1", "__k2", F.posexplode_outer(runs).alias("start", "of"))
+        found.append(spread.join(broadcast_if_small(texts.filter(F.col("m") == m).select("of", "m"), most_broadcast), "of").select("__k1", "__k2", "of", "m", "start"))
+    places = docs.sparkSession.createDataFrame([], "__k1 long, __k2 long, of long, m int, start int")
+    for df in found:
+        places = places.unionByName(df)
+    places = written(places.groupBy(*own).agg(F.count(F.lit(1)).alias("__hits")).drop("__hits"), "places")
+
+    # Exact similarities where something was found.
+    hits = docs.withColumns(key).select(*[F.col(c).alias(n) for c, n in zip(carry, hidden, strict=True)], "__k1", "__k2", text_of(text).alias("__text"))
+    hits = hits.join(broadcast_if_small(places, most_broadcast), ["__k1", "__k2"]).withColumn("__words", _words("__text"))
+    who = [*hidden, "__k1", "__k2"]
+    windows = hits.select(*who, "of", "m", "start", F.slice("__words", F.col("start") + 1, F.col("m")).alias("__window")).distinct()
+    pairs = windows.join(broadcast_if_small(items, most_broadcast), ["of", "m"]).withColumns({"__a": _shingle_texts("__window", k), "__b": _shingle_texts("item", k)})
+    pairs = pairs.withColumn("__all", F.array_union("__a", "__b"))
     count = lambda c, s: F.size(c) - F.size(F.array_remove(c, s))
-    added = lambda f: F.aggregate("all", F.lit(0), lambda x, s: x + f(count("a", s), count("b", s)))
+    added = lambda f: F.aggregate("__all", F.lit(0), lambda x, s: x + f(count("__a", s), count("__b", s)))
     pairs = pairs.withColumn("similarity", added(F.least) / added(F.greatest))
     # The threshold comes after the aggregation: as a filter before it, Catalyst would push it into the join, arrays and all.
-    best = F.max_by(F.struct("start", F.size("window").alias("n_words"), "similarity"), F.struct("similarity", (-F.col("start")).alias("first")))
-    return pairs.groupBy(*own, "item_id").agg(best.alias("best")).filter(F.col("best.similarity") >= least).select(*carry, "item_id", "best.*")
+    best = F.max_by(F.struct("start", F.size("__window").alias("n_words"), "similarity"), F.struct("similarity", (-F.col("start")).alias("first")))
+    chosen = pairs.groupBy(*who, "item_id", "of").agg(best.alias("best")).filter(F.col("best.similarity") >= least)
+    return chosen.select(*[F.col(n).alias(c) for c, n in zip(carry, hidden, strict=True)], "item_id", "best.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,17 +86,58 @@ def test_depth_shortens_until_the_recall_is_met():
     assert ngram_join.prefix_depth(0.8, 0.999) == 4 and ngram_join.prefix_depth(0.8, 0.5) > 4
 
 
+def windows_alike(text, item, k=5):
+    """(similarity, first start) of the best window of the item's length."""
+    words, goal = WORD.findall(text.lower()), WORD.findall(item.lower())
+    bag = lambda w: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)])
+    want, best = bag(goal), (0.0, 0)
+    for i in range(max(1, len(words) - len(goal) + 1)):
+        got = bag(words[i : i + len(goal)])
+        alike = sum((got & want).values()) / sum((got | want).values())
+        best = max(best, (alike, -i))
+    return best[0], -best[1]
+
+
 def test_decontaminate(spark, table):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     plain = lambda t: f" {' '.join(WORD.findall(t.lower()))} "
     want = {(d, i) for d, t in zip(table.doc_id, map(plain, table.text)) for i, b in zip(bench.item_id, map(plain, bench.text)) if b in t}
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    for most in (200_000, 3):
-        got = decontaminate(docs, items, most_broadcast=most).collect()
-        assert want <= {(r.doc_id, r.item_id) for r in got} and all(r.similarity >= 0.8 for r in got)
+    got = decontaminate(docs, items).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got} and all(r.similarity >= 0.8 for r in got)
     assert len({(r.doc_id, r.item_id) for r in got}) == len(got)
 
 
+def test_decontaminate_against_all_windows(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + str(rng.randint(0, 300))
+    items = [" ".join(word() for _ in range(n)) for n in (3, 6, 12, 13, 15, 20, 27, 34, 41, 50, 58, 59, 64, 120, 300)]
+    texts = []
+    for t in items:
+        w = t.split()
+        for edit in range(6):
+            x = list(w)
+            if edit == 1:
+                x[rng.randrange(len(x))] = word()
+            elif edit == 2:
+                x.insert(rng.randrange(len(x)), word())
+            elif edit == 3:
+                x = x[: len(x) - max(1, len(x) // 12)]
+            elif edit == 4:
+                x = x[max(1, len(x) // 12) :]
+            elif edit == 5:
+                del x[rng.randrange(len(x))]
+            texts.append(" ".join([word() for _ in range(rng.randint(0, 90))] + x + [word() for _ in range(rng.randint(0, 90))]))
+    texts += ["a b c d " * 700, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(d, i): a for d, t in enumerate(texts) for i, x in enumerate(items) if (a := windows_alike(t, x))[0] >= 0.8}
+    for most in (500_000, 3):
+        got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate(docs, bench, most_broadcast=most).collect()}
+        assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+        assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in got if want[p][0] == 1)
+
+
 def test_license_scan_equals_oracle(spark):
     assert rows(op2_license_scan(spark, SF).toPandas()) == rows(oracle(ORACLE, SF))
 

@@ -87,7 +87,11 @@ def test_tokens(docs):
 def test_decontaminate(docs, spark):
     bench = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "a b"), (None, "A, b; c d e F!")], "item_id long, text string")
     out = decontaminate.decontaminate(docs, bench).collect()
-    assert sorted((str(r.doc_id), str(r.item_id), r.start, r.n_words, r.similarity) for r in out) == [("None", "1", 0, 6, 1.0), ("None", "None", 0, 6, 1.0)]
+    assert sorted((str(r.doc_id), str(r.item_id), r.start, r.n_words, r.similarity) for r in out) == [("None", "1", 0, 6, 1.0), ("None", "3", 0, 2, 1.0), ("None", "None", 0, 6, 1.0)]
+    odd = docs.withColumns({c: F.lit(1) for c in ("start", "m", "words", "all", "of", "similarity", "item", "__k1")})
+    out = decontaminate.decontaminate(odd, bench, carry=odd.columns)
+    assert out.columns == [*docs.columns, "m", "words", "all", "of", "item", "__k1", "item_id", "start", "n_words", "similarity"]
+    assert {(r.m, r.words, r.all) for r in out.collect()} == {(1, 1, 1)}
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == decontaminate.decontaminate(docs, bench.limit(0)).count() == 0
 
 
