@@ -1,56 +1,94 @@
-"""Token counts by a finite-state transducer compiled from the BPE vocabulary.
-
-The states of the transducer stand for the last tokens of what has been read of a piece; each transition carries the
-number of tokens that it adds to the count, and leaving a piece carries the rest. Only transitions that occur are
-compiled. White space brings the machine back to its first state whatever came before, so the map of a chunk of text from
-states to states and counts is a constant but for what precedes its first white space: (head, count, tail). Such maps
-compose associatively, which lets the chunks of a long text be counted in parallel and put together by a prefix scan.
+"""Token counts by a deterministic transducer compiled from the BPE vocabulary.
+
+The machine reads a text character by character. A state is the kind of piece that is open, what of a contraction or a
+special string has been seen, and for every place of the open piece at which a token may still begin the letters since,
+the token before it and how many tokens there were. Each transition carries the number of tokens that it emits for
+certain; transitions are compiled when they are first taken, states that agree are one. A long text is cut into chunks,
+each is read from every state in which it may be entered, and the maps from entry state to (exit state, count) are
+composed in the shape of a tree, as associative maps can be: a parallel prefix scan over rows.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.bpe import Memory, Vocabulary, spelled, vocabulary
-from loamgrid.llm.common import text_of, without
+from loamgrid.llm.bpe import BEYOND, LETTERS, NUMBERS, SPACES, Memory, Vocabulary, spelled, vocabulary
+from loamgrid.llm.common import text_of, without, written
 
 OUTPUT = ["n_bytes", "n_tokens", "over_limit"]
-#: White space of one byte, at which chunks are told apart.
-SPACE = re.compile("[ \\t-\\r]")
+LETTER, NUMBER, SPACE = re.compile(f"[{LETTERS}]"), re.compile(f"[{NUMBERS}]"), re.compile(f"[{SPACES}]")
+WHITE = [chr(c) for c in range(0x250) if SPACE.match(chr(c))]
+SPLIT = re.compile(f"[{SPACES}]+")
+#: What str.split takes for white space and the pieces don't.
+ODD = re.compile("[\\x1c-\\x1f]")
+#: The contractions that are pieces of their own, by their beginnings.
+CONTRACTIONS = {"'": ("'s", "'t", "'m", "'d"), "'r": ("'re",), "'v": ("'ve",), "'l": ("'ll",)}
+#: One begin of a token may lie before the open piece: nothing read, no token before, none counted.
+OPEN = (("", "", 0),)
+#: Characters before a chunk that are read to learn in which states it may be entered.
+CONTEXT = 160
+
+
+class State(dict):
+    """Character to (next state, tokens emitted), compiled on demand."""
+
+    __slots__ = ("machine", "key")
+
+    def __init__(self, machine: Transducer, key: tuple):
+        super().__init__()
+        self.machine, self.key = machine, key
+
+    def __missing__(self, c: str) -> tuple[State, int]:
+        key, n = self.machine.step(self.key, c)
+        found = self[c] = (self.machine.state(key), n)
+        return found
 
 
 class Transducer:
-    """Reads a piece letter by letter.
+    """A state's key is (piece, held, pending, live): the kind of the open piece ("" none, L letters, S signs), the part of a
+    contraction held back, the part of a special string held back, and the begins of tokens that are still possible.
 
-    After each letter the token that ends there in the encoding of what was read is known (tokens), and how many
-    tokens that encoding has (counts). The next token is the one among those ending at the next letter that may
-    follow the token before it; exactly one may, as the encoding is unique. Two tokens may follow each other if
-    undoing their merges from the latest on never shows a pair across the border that would have been merged first.
+    The last token of what was read of a piece is the one among those ending there that may follow the token before
+    it; exactly one may, as the encoding is unique. Two tokens may follow each other if undoing their merges from the
+    latest on never shows a pair across the border that would have been merged first.
     """
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    def __init__(self, v: Vocabulary, most_states: int = 120_000):
+        self.v, self.most = v, most_states
         self.rank = {pair: k for k, pair in enumerate(v.merges)}
         self.split = {a + b: (k, a, b) for k, (a, b) in enumerate(v.merges)}
-        self.longest = max(len(t.removesuffix(v.suffix)) for t in v.ids)
-        self.lengths = self._lengths()
         self.ok: dict[tuple[str, str], bool] = {}
         self.token_ok: dict[str, bool] = {}
-        self.counts = Memory(lambda piece: self.run(spelled(piece)))
+        bodies = [(t.removesuffix(v.suffix), t.endswith(v.suffix)) for t in v.ids]
+        self.longest = max(len(b) for b, _ in bodies)
+        #: What a token can go on from.
+        self.begun = {b[:k] for b, _ in bodies for k in range(1, len(b))} | {b for b, ended in bodies if ended and b}
+        self.specials = {s[:k] for s in v.special for k in range(1, len(s) + 1)}
+        self.states: dict[tuple, State] = {}
+        self.start = self.state(("", "", "", ()))
+        self.pieces = Memory(self._piece, most=50_000)
+        #: The maps of words between white space, where nothing is open: tokens emitted from the first state back to it.
+        self.words = Memory(self._word, most=250_000)
+
+    def state(self, key: tuple) -> State:
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, key)
+        return found
 
-    def _lengths(self) -> dict[str, list[int]]:
-        """By last letter (with the mark of a word's end, if there): the lengths of the tokens that end so, in letters."""
-        found: dict[str, set[int]] = {}
-        for t in self.v.ids:
-            end = len(self.v.suffix) if self.v.suffix and t.endswith(self.v.suffix) and len(t) > len(self.v.suffix) else 0
-            found.setdefault(t[len(t) - end - 1 :], set()).add(len(t) - end)
-        return {k: sorted(x, reverse=True) for k, x in found.items()}
+    def tidy(self) -> None:
+        """Forgets what was compiled if it has grown too large; to be called between texts."""
+        if len(self.states) > self.most:
+            self.states.clear()
+            self.start = self.state(("", "", "", ()))
 
     def _border(self, a: str, b: str, limit: float, left_of_limit: bool = False) -> bool:
         """Whether no pair across the border of a and b merges before rank limit, at which a or b itself is used up (left_of_limit: it is b)."""
@@ -89,45 +127,158 @@ class Transducer:
             found = self.ok[a, b] = self._border(a, b, float("inf"))
         return found
 
-    def _last(self, letters: str, upto: int, tokens: list[str], end: str) -> tuple[str, int]:
-        """The token that ends after `upto` letters, and where it begins."""
-        for n in self.lengths[letters[upto - 1] + end]:
-            begin = upto - n
-            if begin >= 0:
-                t = letters[begin:upto] + end
-                if t in self.v.ids and self.whole(t) and (begin == 0 or self.follows(tokens[begin], t)):
-                    return t, begin
-        raise ValueError(f"no token ends {letters[:upto]!r}")
-
-    def run(self, letters: str) -> int:
-        """The number of tokens of a piece."""
-        tokens, counts = [""], [0]
-        for upto in range(1, len(letters)):
-            t, begin = self._last(letters, upto, tokens, "")
-            tokens.append(t)
-            counts.append(counts[begin] + 1)
-        return counts[self._last(letters, len(letters), tokens, self.v.suffix)[1]] + 1 if letters else 0
-
-    def count(self, text: str) -> int:
-        return sum(1 if special is not None else sum(map(self.counts.__getitem__, pieces)) for special, pieces in self.v.segments(text))
-
-    def chunk_map(self, text: str) -> tuple[str, int, str, bool]:
-        """(head, count, tail, cut): what precedes the first white space, the tokens up to the last one, the rest; cut: there is white space."""
+    def _letter(self, live: tuple, x: str) -> tuple[tuple, int]:
+        """After one more letter of the byte alphabet: the live begins, counted from the least, and that least count, which is emitted."""
+        grown = [(s + x, last, n) for s, last, n in live]
+        t, n = next((s, n + 1) for s, last, n in grown if s in self.v.ids and self.whole(s) and (not last or self.follows(last, s)))
+        kept = [g for g in grown if g[0] in self.begun] + [("", t, n)]
+        least = min(n for *_, n in kept)
+        return tuple((s, last, n - least) for s, last, n in kept), least
+
+    def _grow(self, live: tuple, c: str) -> tuple[tuple, int]:
+        total = 0
+        for x in spelled(c):
+            live, n = self._letter(live, x)
+            total += n
+        return live, total
+
+    def _close(self, live: tuple) -> int:
+        """Tokens that the end of the piece emits."""
+        for s, last, n in live:
+            t = s + self.v.suffix
+            if s and t in self.v.ids and self.whole(t) and (not last or self.follows(last, t)):
+                return n + 1
+        raise ValueError(f"no token ends {live!r}")
+
+    def _piece(self, piece: str) -> int:
+        live, n = self._grow(OPEN, piece)
+        return n + self._close(live)
+
+    def _feed(self, piece: str, held: str, live: tuple, c: str) -> tuple[tuple, int]:
+        """One character in lower case, special strings aside: (piece, held, live) after it, and the tokens emitted."""
+        if held:
+            if held + c in CONTRACTIONS[held]:
+                return ("", "", ()), self.pieces[held + c]
+            if held + c in CONTRACTIONS:
+                return ("", held + c, ()), 0
+            if held == "'":  # it begins a run of signs
+                opened, n = self._grow(OPEN, held)
+                after, m = self._feed("S", "", opened, c)
+                return after, n + m
+            opened, n = self._grow(OPEN, held[1])  # a sign alone, then a letter
+            after, m = self._feed("L", "", opened, c)
+            return after, self.pieces["'"] + n + m
+        kind = "L" if LETTER.match(c) else "N" if NUMBER.match(c) else "" if SPACE.match(c) else "S"
+        if piece:
+            if kind == piece:
+                grown, n = self._grow(live, c)
+                return (piece, "", grown), n
+            after, n = self._feed("", "", (), c)
+            return after, self._close(live) + n
+        if kind == "N":
+            return ("", "", ()), self.pieces[c]
+        if c == "'":
+            return ("", c, ()), 0
+        if not kind:
+            return ("", "", ()), 0
+        grown, n = self._grow(OPEN, c)
+        return (kind, "", grown), n
+
+    def _end(self, piece: str, held: str, live: tuple) -> int:
+        if held:
+            return self.pieces["'"] + (self.pieces[held[1:]] if held[1:] else 0)
+        return self._close(live) if piece else 0
+
+    def _replayed(self, key: tuple) -> tuple[tuple, int]:
+        """A key without pending characters: they were no special string."""
+        (piece, held, pending, live), total = key, 0
+        for c in pending:
+            (piece, held, live), n = self._feed(piece, held, live, c.lower())
+            total += n
+        return (piece, held, live), total
+
+    def step(self, key: tuple, c: str) -> tuple[tuple, int]:
+        piece, held, pending, live = key
+        if pending + c in self.v.special:
+            return ("", "", "", ()), self._end(piece, held, live) + 1
+        if pending + c in self.specials:
+            return (piece, held, pending + c, live), 0
+        (piece, held, live), n = self._replayed(key)
+        if c in self.specials:
+            return (piece, held, c, live), n
+        (piece, held, live), m = self._feed(piece, held, live, c.lower())
+        return (piece, held, "", live), n + m
+
+    def run(self, text: str, state: State) -> tuple[State, int]:
+        """Character by character: the state after the text, and the tokens emitted."""
+        total = 0
+        for c in text:
+            state, n = state[c]
+            total += n
+        return state, total
+
+    def _word(self, word: str) -> int:
+        state, n = self.run(word, self.start)
+        return n + self.end(state)
+
+    def whole_words(self, text: str) -> int:
+        """Tokens of a text that begins and ends where nothing is open: the maps of its words, composed."""
+        return sum(map(self.words.__getitem__, SPLIT.split(text) if ODD.search(text) else text.split()))
+
+    def read(self, text: str, state: State) -> tuple[State, int]:
+        """As run; between the first and the last white space by whole words."""
         first = SPACE.search(text)
         if not first:
-            return text, 0, "", False
-        last = len(text) - SPACE.search(text[::-1]).start()
-        return text[: first.start()], self.count(text[first.start() : last]), text[last:], True
+            return self.run(text, state)
+        state, n = self.run(text[: first.end()], state)
+        last = max(text.rfind(c) for c in WHITE) + 1
+        n += self.whole_words(text[first.end() : last]) if last > first.end() else 0
+        state, m = self.run(text[last:], state)
+        return state, n + m
+
+    def end(self, state: State) -> int:
+        """Tokens that the end of the text emits."""
+        (piece, held, live), n = self._replayed(state.key)
+        return n + self._end(piece, held, live)
+
+    def wide(self, text: str) -> bool:
+        """Whether the text has characters beyond the Latin ones, whose pieces only the library's own rules tell."""
+        return not text.isascii() and BEYOND.search(text.lower()) is not None
 
-    def composed(self, maps: Iterator[tuple[str, int, str, bool]]) -> int:
-        """The count of a text whose chunks have these maps, in their order."""
-        total, open_run = 0, []
-        for head, n, tail, cut in maps:
-            open_run.append(head)
-            if cut:
-                total += self.count("".join(open_run)) + n
-                open_run = [tail]
-        return total + self.count("".join(open_run))
+    def count(self, text: str) -> int:
+        self.tidy()
+        if self.wide(text):
+            return sum(1 if special is not None else sum(map(self.pieces.__getitem__, pieces)) for special, pieces in self.v.segments(text))
+        return self.whole_words(text)
+
+    def chunks(self, text: str, size: int) -> Iterator[tuple[str, str, bool, bool]]:
+        """(context, part, wide, last) of a text; one with wide characters is cut at white space only, where nothing is open."""
+        wide, at = self.wide(text), 0
+        while at < len(text):
+            to = min(len(text), at + size)
+            if wide and to < len(text):
+                gap = SPACE.search(text, to)
+                to = gap.end() if gap else len(text)
+            yield "" if wide else text[max(0, at - CONTEXT) : at], text[at:to], wide, to == len(text)
+            at = to
+
+    def entries(self, context: str) -> list[State]:
+        """The states in which what follows the context may be entered: one after white space; else those from each begin of a token in the context."""
+        gaps = [m.end() for m in SPACE.finditer(context)]
+        begins = [gaps[-1]] if gaps else range(min(len(context), self.longest)) if context else [0]
+        return list({id(s): s for s in (self.run(context[k:], self.start)[0] for k in begins)}.values())
+
+    def chunk_map(self, context: str, part: str, wide: bool, last: bool) -> dict[str, tuple[str, int]]:
+        """Entry state to (exit state, tokens emitted), states as text; after the last chunk the exit is empty and the end counted."""
+        self.tidy()
+        named = lambda s: json.dumps(s.key, ensure_ascii=False)
+        if wide:
+            return {named(self.start): ("" if last else named(self.start), self.count(part))}
+        found = {}
+        for s in self.entries(context):
+            after, n = self.read(part, s)
+            found[named(s)] = ("", n + self.end(after)) if last else (named(after), n)
+        return found
 
 
 @functools.cache
@@ -135,16 +286,39 @@ def transducer(path: str) -> Transducer:
     return Transducer(vocabulary(path))
 
 
-def token_counts(docs: DataFrame, path: str, *, text: str = "text", carry: list[str] | None = None, limit: int = 2048, chunk: int = 65_536) -> DataFrame:
+MAP = "map<string,struct<state:string,n:bigint>>"
+
+
+def composed(a: Column, b: Column) -> Column:
+    """First a, then b; what leaves a in a state that b doesn't know is left out."""
+    then = F.transform_values(a, lambda k, v: F.when(F.map_contains_key(b, v["state"]), F.struct(F.try_element_at(b, v["state"])["state"].alias("state"), (v["n"] + F.try_element_at(b, v["state"])["n"]).alias("n"))))
+    return F.map_filter(then, lambda k, v: v.isNotNull())
+
+
+def scanned(maps: DataFrame, fan: int = 16) -> DataFrame:
+    """(row, map): the composition of the maps of a row in order of `at`, by groups of `fan` neighbours round after round. maps: (row, at, map)."""
+    last = maps.agg(F.max("at")).first()[0]
+    rounds = math.ceil(math.log(last + 1, fan) - 1e-9) if last else 0
+    for _ in range(max(1, rounds)):
+        near = maps.groupBy("row", F.floor(F.col("at") / fan).cast("int").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", F.map_entries("map").alias("e")))).alias("own"))
+        parts = F.transform("own", lambda x: F.map_from_entries(x["e"]))
+        maps = near.withColumn("parts", parts).select("row", "at", F.aggregate(F.slice("parts", 2, fan), F.get("parts", 0), composed).alias("map"))
+    return maps.select("row", "map")
+
+
+def token_counts(docs: DataFrame, path: str, *, text: str = "text", carry: list[str] | None = None, limit: int = 2048, chunk: int = 16_384) -> DataFrame:
     """The rows of docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     path: the vocabulary file, there on every machine. carry: the input columns to keep (all by default). Texts of more
-    than chunk characters are cut into chunks that are counted as rows of their own. A null text counts as empty (0
-    tokens); special strings in a text count as one token each; rows with equal ids are counted one by one; input
-    columns named as the results give way.
+    than chunk characters are cut into chunks that are read as rows of their own, wherever that cuts; a text in which
+    a chunk is left in a state that the next one wasn't read from (the states are learnt from the CONTEXT characters
+    before it) is read again as a whole. A null text counts as empty (0 tokens); special strings in a text count as one
+    token each; rows with equal ids are counted one by one; input columns named as the results give way.
     """
     docs = without(docs, *OUTPUT)
     carry = [c for c in (carry or docs.columns)]
+    kept = [F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)]
+    names = [F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)]
 
     @F.pandas_udf("long")
     def whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -152,27 +326,30 @@ def token_counts(docs: DataFrame, path: str, *, text: str = "text", carry: list[
         for batch in texts:
             yield batch.map(t.count)
 
-    @F.pandas_udf("head string, n long, tail string, cut boolean")
-    def mapped(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer(path)
-        for batch in texts:
-            yield pd.DataFrame([t.chunk_map(x) for x in batch], columns=["head", "n", "tail", "cut"])
+        for batch in batches:
+            for row, body in zip(batch["row"], batch["body"], strict=True):
+                for k, part in enumerate(t.chunks(body, chunk)):
+                    yield pd.DataFrame([(row, k, *part)], columns=["row", "at", "context", "part", "wide", "last"])
 
-    def scanned(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        maps = zip(group["head"], group["n"], group["tail"], group["cut"], strict=True)
-        return pd.DataFrame({"__row": [group["__row"].iloc[0]], "n_tokens": [transducer(path).composed(maps)]})
+    @F.pandas_udf(MAP)
+    def mapped(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        t = transducer(path)
+        for batch in parts:
+            yield pd.Series([{k: {"state": s, "n": n} for k, (s, n) in t.chunk_map(*x).items()} for x in zip(*batch, strict=True)], dtype=object)
 
     n_bytes = F.octet_length(text_of(text)).cast("long").alias("n_bytes")
     long = F.length(text_of(text)) > chunk
     short = docs.filter(~long).select(*carry, n_bytes, whole(text_of(text)).alias("n_tokens"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).filter(long)
-    at = F.explode(F.sequence(F.lit(0), F.ceil(F.length(text) / chunk).cast("int") - 1))
-    chunks = numbered.select("__row", F.col(text).alias("__text"), at.alias("at")).select("__row", "at", F.substring("__text", F.col("at") * chunk + 1, F.lit(chunk)).alias("part"))
-    maps = chunks.repartition("__row", "at").select("__row", "at", mapped("part").alias("map")).select("__row", "at", "map.*")
-    counted = maps.groupBy("__row").applyInPandas(scanned, "__row long, n_tokens long")
-    whole_rows = numbered.select(*carry, "__row", n_bytes).join(counted, "__row").select(*carry, "n_bytes", "n_tokens")
-    return short.unionByName(whole_rows).withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = written(docs.filter(long).select(*kept, F.col(text).alias("body"), n_bytes).withColumn("row", F.monotonically_increasing_id()), "long")
+    parts = rows.select("row", "body").mapInPandas(cut, "row long, at int, context string, part string, wide boolean, last boolean")
+    maps = written(parts.repartition("row", "at").select("row", "at", mapped("context", "part", "wide", "last").alias("map")), "maps")
+    start = json.dumps(("", "", "", ()))
+    counted = written(scanned(maps).select("row", F.try_element_at("map", F.lit(start))["n"].alias("n")), "counted")
+    known = rows.drop("body").join(counted.filter("n is not null"), "row").select(*names, "n_bytes", F.col("n").alias("n_tokens"))
+    again = rows.join(counted.filter("n is null"), "row", "left_semi").select(*names, "n_bytes", whole("body").alias("n_tokens"))
+    return short.unionByName(known).unionByName(again).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
