@@ -1,11 +1,13 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated by temperature.
 
 Every token bucket has a fixed sparse random index vector. A bucket's word vector is the sum of the index vectors that
-stand around it in the training texts; a document is the mean and spread of the vectors of its tokens.
+stand around it in the training texts, shifted by their place, so that order counts. A document is the mean and spread
+of the vectors of its tokens and their coherence: how alike tokens are that stand a few places apart.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -14,18 +16,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import text_of, without
+from loamgrid.llm.common import text_of, without, written
 from loamgrid.llm.shingles import run_hashes
 
-BUCKETS, SHAPES, WIDTH, HIDDEN = 1 << 14, 64, 48, 24
+BUCKETS, WIDTH, HIDDEN, AROUND = 1 << 14, 48, 24, 2
+#: Distances at which the coherence of a document is taken.
 LAGS = (1, 2, 3, 4, 6)
-FEATURES = 2 * WIDTH + len(LAGS) + 1 + SHAPES
+FEATURES = 2 * WIDTH + len(LAGS)
 #: Byte classes: white space 0, small and non-ASCII letters 1, capitals 2, digits 3, other signs 4.
 CLASS = np.array([1 if b >= 128 or chr(b).islower() else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 0 if b <= 32 else 4 for b in range(256)], np.int8)
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, shape, index of the text) of every token. A token is a run of bytes of one class; all its bytes choose its bucket, its class and length its shape."""
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of the text) of every token. A token is a run of bytes of one class; all its bytes choose its bucket."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     kind = CLASS[data]
@@ -34,12 +37,11 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = kind[begins] > 0
     begins, lengths = begins[seen], lengths[seen]
     bucket = (run_hashes(data, begins, begins + lengths) % np.uint64(BUCKETS)).astype(np.int64)
-    shape = kind[begins].astype(np.int64) * (SHAPES // 8) + np.minimum(np.log2(lengths).astype(np.int64), SHAPES // 8 - 1)
     owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), begins, side="right")
-    return bucket, shape, owner
+    return bucket, owner
 
 
-def _groups(texts: list[str], most_bytes: int = 1 << 20) -> Iterator[list[str]]:
+def _groups(texts: list[str], most_bytes: int = 1 << 18) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
         if group and size + len(t) > most_bytes:
@@ -51,29 +53,37 @@ def _groups(texts: list[str], most_bytes: int = 1 << 20) -> Iterator[list[str]]:
         yield group
 
 
-def word_vectors(texts: list[str], around: int = 2) -> np.ndarray:
-    """Unit vectors of all buckets; zero for one that the texts don't have."""
-    rng = np.random.default_rng(8)
-    index = rng.choice(np.array([-1, 0, 1], np.float32), (BUCKETS, WIDTH), p=[0.06, 0.88, 0.06])
-    sums = np.zeros((BUCKETS, WIDTH))
+@functools.cache
+def index_vectors() -> np.ndarray:
+    return np.random.default_rng(8).choice(np.array([-1, 0, 1], np.float32), (BUCKETS, WIDTH), p=[0.06, 0.88, 0.06])
+
+
+def context_sums(texts: list[str]) -> np.ndarray:
+    """For every bucket the sum of the index vectors around it, each shifted by its distance."""
+    index, sums = index_vectors(), np.zeros((BUCKETS, WIDTH))
     for group in _groups(texts):
-        t, _, owner = tokens(group)
+        t, owner = tokens(group)
         near = np.zeros((len(t), WIDTH), np.float32)
-        for d in range(1, around + 1):
+        for d in range(1, AROUND + 1):
             same = (owner[d:] == owner[:-d])[:, None]
-            near[d:] += index[t[:-d]] * same
-            near[:-d] += index[t[d:]] * same
+            near[d:] += np.roll(index, d, axis=1)[t[:-d]] * same
+            near[:-d] += np.roll(index, -d, axis=1)[t[d:]] * same
         for k in range(WIDTH):
             sums[:, k] += np.bincount(t, near[:, k], BUCKETS)
+    return sums
+
+
+def unit(sums: np.ndarray) -> np.ndarray:
+    """Word vectors of length 1; zero for a bucket that the texts don't have."""
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the word vectors of each text, the shares of tokens that stand LAGS places before too, the log of their number and the share of each shape; zeros for a text without tokens."""
+    """Mean and mean square of the word vectors of each text, and the mean product of those that stand LAGS places apart; zeros for a text without tokens."""
     out = []
     for group in _groups(texts):
-        t, shape, owner = tokens(group)
+        t, owner = tokens(group)
         n = np.bincount(owner, minlength=len(group))
         row = np.zeros((len(group), FEATURES), np.float32)
         has = np.flatnonzero(n)
@@ -81,12 +91,10 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
             begins = np.concatenate([[0], np.cumsum(n)[:-1]])[has]
             x = vectors[t]
             row[has, :WIDTH] = np.add.reduceat(x, begins, axis=0) / n[has, None]
-            row[has, WIDTH : 2 * WIDTH] = np.add.reduceat(np.square(x, out=x), begins, axis=0) / n[has, None]
             for k, d in enumerate(LAGS):
-                again = (t[d:] == t[:-d]) & (owner[d:] == owner[:-d])
-                row[has, 2 * WIDTH + k] = np.bincount(owner[d:], again, len(group))[has] / n[has]
-            row[has, 2 * WIDTH + len(LAGS)] = np.log(n[has])
-            row[has, -SHAPES:] = np.bincount(owner * SHAPES + shape, minlength=len(group) * SHAPES).reshape(-1, SHAPES)[has] / n[has, None]
+                alike = np.einsum("ij,ij->i", x[d:], x[:-d]) * (owner[d:] == owner[:-d])
+                row[has, 2 * WIDTH + k] = np.bincount(owner[d:], alike, len(group))[has] / n[has]
+            row[has, WIDTH : 2 * WIDTH] = np.add.reduceat(np.square(x, out=x), begins, axis=0) / n[has, None]
         out.append(row)
     return np.concatenate(out) if out else np.zeros((0, FEATURES), np.float32)
 
@@ -96,12 +104,12 @@ def _forward(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, h @ m["w2"] + m["b2"]
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 400, rate: float = 0.01, decay: float = 1e-3) -> dict:
-    """The model; one row in five is set aside to fit the temperature."""
-    vectors = word_vectors(texts)
-    x, y = pooled(texts, vectors), labels.astype(float)
+def train(vectors: np.ndarray, x: np.ndarray, labels: np.ndarray, epochs: int = 400, rate: float = 0.01, decay: float = 1e-3) -> dict:
+    """The model from pooled rows; one row in five is set aside to fit the temperature."""
+    y = labels.astype(float)
     rng = np.random.default_rng(9)
     aside = rng.random(len(y)) < 0.2
+    aside &= not aside.all()
     xt, yt = x[~aside].astype(float), y[~aside]
     m = {"vectors": vectors, "mean": xt.mean(0), "scale": xt.std(0) + 1e-4, "w1": rng.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "b2": 0.0, "t": 1.0}
     names, state = ("w1", "b1", "w2", "b2"), {}
@@ -127,21 +135,43 @@ def scores(texts: list[str], m: dict) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: Column | None = None, most_rows: int = 5000) -> bytes:
-    """The model as bytes, fitted in one task on at most most_rows labelled rows: those whose ids hash lowest.
+    """The model as bytes, fitted on at most most_rows labelled rows: those whose ids hash lowest.
 
-    Labels other than 0 and 1 and null ids are left out, as are rows for which `rows` (a condition on the labels) isn't true. Without any row, or with one class only, the score is the share of label 1 (0.5 if none).
+    Labels other than 0 and 1 and null ids are left out, as are rows for which `rows` (a condition on the labels) isn't true; of texts with one id the least counts. Word vectors and pooled rows are made where the texts lie; the driver gets the table of buckets, the task that trains one row of FEATURES numbers per text. Without any row the model is empty; with one class only it has nothing to tell apart.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     known = known.filter(rows) if rows is not None else known
     # At most most_rows rows of two numbers.
     chosen = F.broadcast(known.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(most_rows))
-    sample = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).join(chosen, "id").select("id", "body", "y")
+    sample = written(docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).join(chosen, "id").groupBy("id", "y").agg(F.min("body").alias("body")), "sample")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((BUCKETS, WIDTH))
+        for batch in batches:
+            sums += context_sums(batch["body"].tolist())
+        seen = np.flatnonzero(np.abs(sums).sum(axis=1))
+        if len(seen):
+            yield pd.DataFrame({"bucket": seen, "sums": list(sums[seen])})
+
+    parts = sample.select("body").mapInPandas(summed, "bucket long, sums array<double>")
+    found = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(WIDTH)]).alias("sums")).collect()  # BUCKETS rows at most
+    if not found:
+        return b""
+    sums = np.zeros((BUCKETS, WIDTH))
+    for r in found:
+        sums[r["bucket"]] = r["sums"]
+    held = docs.sparkSession.sparkContext.broadcast(unit(sums))
+
+    @F.pandas_udf("array<float>")
+    def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(list(pooled(batch.tolist(), held.value)), dtype=object)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "body"]).head(most_rows)
-        return pd.DataFrame({"model": [pickle.dumps(train(group["body"].tolist(), group["y"].to_numpy()))]})
+        group = group.sort_values(["id", "y"])
+        return pd.DataFrame({"model": [pickle.dumps(train(held.value, np.stack(group["x"].to_list()).astype(np.float32), group["y"].to_numpy()))]})
 
-    made = sample.groupBy().applyInPandas(one, "model binary").collect()
+    made = sample.select("id", "y", vector("body").alias("x")).groupBy().applyInPandas(one, "model binary").collect()
     return bytes(made[0][0]) if made else b""
 
 
