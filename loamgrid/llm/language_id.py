@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.llm.common import text_of, without
 
@@ -116,18 +117,11 @@ def _chances(m: dict, x: np.ndarray, keeps: tuple | None = None) -> tuple[np.nda
     return p, states
 
 
-def train(texts: list[str], langs: list[str], per_text: int = 4, batch: int = 256, epochs: int = 6, rate: float = 0.01) -> dict:
-    """The model, from at most per_text stretches of each text, drawn with a fixed seed; languages weigh alike."""
+def train(x: np.ndarray, langs: list[str], batch: int = 256, epochs: int = 6, rate: float = 0.01) -> dict:
+    """The model from stretches and the language of each; languages weigh alike."""
     rng = np.random.default_rng(11)
     names = sorted(set(langs))
-    x, owner = _stretches(texts)
-    order = rng.permutation(len(owner))
-    rank = np.zeros(len(owner), np.int64)
-    seen: dict[int, int] = {}
-    for i in order.tolist():
-        rank[i] = seen[owner[i]] = seen.get(owner[i], -1) + 1
-    x, owner = x[rank < per_text], owner[rank < per_text]
-    y = np.array([names.index(v) for v in langs])[owner]
+    y = np.array([names.index(v) for v in langs])
     weight = (1 / np.bincount(y, minlength=len(names)).clip(1))[y]
     weight = (weight / weight.mean()).astype(np.float32)
     draw = lambda a, b, s: rng.normal(0, s, (a, b)).astype(np.float32)
@@ -178,29 +172,39 @@ def predict(texts: list[str], m: dict, batch: int = 2048) -> tuple[list[str], li
     return [m["langs"][b] if h else "und" for b, h in zip(best, has, strict=True)], [float(total[i, b] / whole[i]) if h else 0.0 for i, (b, h) in enumerate(zip(best, has, strict=True))]
 
 
-def fit(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", rows: Column | None = None, most_rows: int = 4000) -> bytes:
-    """The model as bytes, fitted in one task on at most most_rows documents with a language: those whose ids hash lowest.
+def fit(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", rows: Column | None = None, most_rows: int = 4000, most_stretches: int = 16_384) -> bytes:
+    """The model as bytes, fitted in one task on at most most_stretches stretches, drawn by hash from the whole texts of at most most_rows documents with a language: those whose ids hash lowest.
 
-    rows: a condition on docs that training rows must meet. Null ids and languages are left out; without any row the model is empty.
+    rows: a condition on docs that training rows must meet. Null ids and languages are left out; of texts with one id and language the least counts; without any row the model is empty.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     known = known.filter(rows) if rows is not None else known
     # At most most_rows rows of an id and a language.
     chosen = F.broadcast(known.select(F.col(doc_id).alias("id"), F.col(lang).alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(most_rows).distinct())
-    sample = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("y"), F.col(text).alias("body")).join(chosen, ["id", "y"])
+    sample = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("y"), F.col(text).alias("body")).join(chosen, ["id", "y"]).groupBy("id", "y").agg(F.min("body").alias("body"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for y, i, body in zip(batch["y"], batch["id"], batch["body"], strict=True):
+                x = _stretches([body])[0]
+                yield pd.DataFrame({"id": i, "k": range(len(x)), "y": y, "stretch": [r.tobytes() for r in x]})
+
+    stretches = sample.mapInPandas(cut, T.StructType([sample.schema["id"], T.StructField("k", T.LongType()), T.StructField("y", T.StringType()), T.StructField("stretch", T.BinaryType())]))
+    drawn = stretches.orderBy(F.xxhash64("id", "k"), "id", "y", "k").limit(most_stretches)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["id", "body"]).head(most_rows)
-        return pd.DataFrame({"model": [pickle.dumps(train(group["body"].tolist(), group["y"].tolist()))]})
+        group = group.sort_values(["id", "y", "k"])
+        x = np.frombuffer(b"".join(group["stretch"]), np.uint8).reshape(-1, STRETCH)
+        return pd.DataFrame({"model": [pickle.dumps(train(x, group["y"].tolist()))]})
 
-    made = sample.groupBy().applyInPandas(one, "model binary").collect()
+    made = drawn.groupBy().applyInPandas(one, "model binary").collect()
     return bytes(made[0][0]) if made else b""
 
 
 def language_id(docs: DataFrame, model: bytes, *, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The rows of docs with lang_pred and score (its probability).
 
-    `und` with score 0 where the text is null or has no letter, and everywhere if the model is empty. Input columns named lang_pred or score give way.
+    `und` with score 0 where the text is null or has no letter, and everywhere if the model is empty; of languages with equal probabilities the first by name. Input columns named lang_pred or score give way.
     """
     docs = without(docs, "lang_pred", "score")
     carry = carry or docs.columns
