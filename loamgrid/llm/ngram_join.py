@@ -1,14 +1,17 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts with the same set of shingles form one class from the start; only one of each goes on. A forest of prefix trees
-holds the signatures; prefixes are shortened from full depth until pairs at the threshold share one in some tree with
-the target recall. What shares a prefix is compared by whole signatures, which gives groups that hold all candidates.
-Inside each group all pairs are verified on the shingles themselves. Large groups are cut into blocks and compared
-block against block, so that no task holds a whole group and no pair is ever a row.
+Texts with the same set of shingles form one class from the start; only one of each goes on. A forest of sorted prefix
+trees holds the signatures. All start with prefixes of full depth; what shares one in some tree is compared by whole
+signatures. From the similarities of the neighbours that a signature has found, the chance that one like them was found
+at this depth tells its recall; signatures short of the target go on with prefixes one value shorter, the others only
+answer them. At the least depth even a pair at the threshold has been found with the target recall. The links found give
+groups that hold all candidates. Inside each group all pairs are verified on the shingles themselves. Large groups are
+cut into blocks and compared block against block, so that no task holds a whole group and no pair is ever a row.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,11 +26,17 @@ from loamgrid.llm.shingles import shingle_sets, signature
 
 OUTPUT = ["class_id", "n_links", "kept"]
 TREES, DEPTH = 16, 8
+ALIKE = "array<struct<row:long,root:long,n:double,of:double>>"
+
+
+def found_at(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """The chance that a pair of this similarity shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that pairs at the threshold share in some tree with at least this probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    """The longest prefix that pairs at the threshold share in some tree with at least this probability: none need be shorter."""
+    while depth > 1 and found_at(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -56,18 +65,27 @@ def _others(i: int, side: np.ndarray, own: bool) -> np.ndarray:
     return np.flatnonzero(side) if not side[i] else np.zeros(0, np.int64)
 
 
-def _alike(members: list[dict], own: bool, least: float) -> list[dict]:
-    """Links between members whose signatures agree in at least this share, as a star around the least of each group."""
+def _alike(members: list[dict], own: bool, least: float, threshold: float, depth: int) -> list[dict]:
+    """For each member that has neighbours, signatures that agree in at least the share `least`: the least of its group (root), how many neighbours it has (n) and how many there should be by the chances of finding such at this depth (of). Two members neither of which is open are not compared."""
     prints = np.array([np.frombuffer(m["sig"], ">u4") for m in members])
-    side = np.array([m["side"] for m in members], bool)
+    side, open_ = np.array([m["side"] for m in members], bool), np.array([m["open"] for m in members], bool)
+    n, of = np.zeros(len(members)), np.zeros(len(members))
 
     def found() -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(members)):
             j = _others(i, side, own)
-            yield i, j[(prints[j] == prints[i]).mean(axis=1) >= least] if len(j) else j
+            j = j if open_[i] else j[open_[j]]
+            if len(j):
+                same = (prints[j] == prints[i]).mean(axis=1)
+                j, same = j[same >= least], same[same >= least]
+                weight = 1 / found_at(np.maximum(same, threshold), depth)
+                n[i], of[i] = n[i] + len(j), of[i] + weight.sum()
+                n[j] += 1
+                of[j] += weight
+            yield i, j
 
     roots = _roots(len(members), found())
-    return [{"a": members[k]["row"], "b": members[r]["row"]} for k, r in enumerate(roots) if k != r]
+    return [{"row": members[k]["row"], "root": members[r]["row"], "n": float(n[k]), "of": float(of[k])} for k, r in enumerate(roots) if n[k]]
 
 
 def _verified(members: list[dict], own: bool, threshold: float) -> list[dict]:
@@ -127,9 +145,10 @@ def ngram_join(
     runs of letters and digits in lower case, and a shorter text is one shingle. class_id: the least doc_id among all
     texts that links hold together. n_links: the number of other rows that a row is linked to, copies included. kept:
     true for one row of each class. A text that is null, empty or without words has no links and is its own class;
-    rows with equal ids are told apart; a class whose ids are all null has a null class_id. A pair at the threshold
-    becomes a candidate with probability recall, and is then in a group unless its signatures agree in less than
-    threshold - margin (over four deviations off); similarities are exact. Blocks bound what a task holds: block
+    rows with equal ids are told apart; a class whose ids are all null has a null class_id. A signature is
+    looked up with ever shorter prefixes until neighbours like those that it has would be found with probability recall;
+    one without neighbours goes on until a pair at the threshold would be. A pair looked up is in a group unless its
+    signatures agree in less than threshold - margin (over four deviations off); similarities are exact. Blocks bound what a task holds: block
     members or block_shingles shingles a side. Columns named as in OUTPUT give way.
     """
     docs = without(docs, *OUTPUT)
@@ -153,8 +172,11 @@ def ngram_join(
         for batch in parts(texts):
             yield pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(batch, k)], dtype=object)
 
-    def alike(groups: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([_alike(list(g), o, threshold - margin) for g, o in zip(groups, own, strict=True)], dtype=object)
+    def alike_at(d: int):
+        def alike(groups: pd.Series, own: pd.Series) -> pd.Series:
+            return pd.Series([_alike(list(g), o, threshold - margin, threshold, d) for g, o in zip(groups, own, strict=True)], dtype=object)
+
+        return F.pandas_udf(alike, ALIKE)
 
     def verified(groups: pd.Series, own: pd.Series) -> pd.Series:
         return pd.Series([_verified(list(g), o, threshold) for g, o in zip(groups, own, strict=True)], dtype=object)
@@ -166,15 +188,32 @@ def ngram_join(
     worded = rows.filter(F.col("key").isNotNull())
     reps = written(worded.groupBy("key", "sig", "n").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("id")), "sets")
 
-    # The forest: one row per tree, then the subtrees below a prefix of this depth that hold more than one set. Subtrees of equal members in several trees are one.
+    # The forest: leaves that share the least prefix with another one, each tree sorted by its signatures' values; what shares none is alone.
     width = DEPTH * 4
-    trees = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * width + 1, 4 * depth)) for t in range(TREES)])
-    leaves = reps.select("row", F.explode(trees).alias("tree"))
-    subtrees = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.min("row").alias("low"), F.max("row").alias("high")).filter("size > 1")
-    subtrees = subtrees.groupBy("size", "x", "low", "high").agg(F.min("tree").alias("tree")).select("tree", "size")
-    subtrees = written(subtrees, "subtrees")
-    inside = leaves.join(broadcast_if_small(subtrees, most_broadcast), "tree").join(reps.select("row", "sig"), "row")
-    compared = _in_blocks(inside, "tree", F.ceil(F.col("size") / block), "sig").select(F.explode(F.pandas_udf(alike, "array<struct<a:long,b:long>>")("members", "own")).alias("l")).select("l.*")
+    trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", t * width + 1, width).alias("path")) for t in range(TREES)])
+    leaves = reps.select("row", F.inline(trees)).withColumn("node", F.xxhash64("tree", F.substring("path", 1, 4 * depth)))
+    shared = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    shared = written(shared, "shared")
+    forest = leaves.join(broadcast_if_small(shared, most_broadcast), "node").drop("node")
+    forest = written(forest.repartitionByRange("tree", "path").sortWithinPartitions("tree", "path"), "forest")
+    signs = written(reps.select("row", "sig").join(forest.select("row").distinct(), "row"), "signs")
+    closed = None  # rows whose recall is reached
+    links = []
+    for d in range(DEPTH, depth - 1, -1):
+        here = forest.select("row", F.xxhash64("tree", F.substring("path", 1, 4 * d)).alias("node"))
+        here = here.withColumn("open", F.lit(True)) if closed is None else here.join(closed, "row", "left").withColumn("open", F.col("reached").isNull()).drop("reached")
+        # Subtrees of equal members in several trees are one; those without an open member have nothing left to find.
+        subtrees = here.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.min("row").alias("low"), F.max("row").alias("high"), F.bool_or("open").alias("any")).filter("size > 1 and any")
+        subtrees = written(subtrees.groupBy("size", "x", "low", "high").agg(F.min("node").alias("node")).select("node", "size"), "subtrees")
+        inside = here.join(broadcast_if_small(subtrees, most_broadcast), "node").join(signs, "row")
+        made = _in_blocks(inside, "node", F.ceil(F.col("size") / block), "sig", "open").select(F.explode(alike_at(d)("members", "own")).alias("l")).select("l.*")
+        made = written(made, "alike")
+        links.append(made.filter("row <> root").select(F.col("row").alias("a"), F.col("root").alias("b")))
+        # A neighbour met in several trees counts several times in both sums, which leaves their share what it is.
+        done = made.groupBy("row").agg((F.sum("n") >= recall * F.sum("of")).alias("reached")).filter("reached")
+        closed = done if closed is None else closed.unionByName(done).distinct()
+        closed = written(closed, "closed")
+    compared = functools.reduce(DataFrame.unionByName, links)
     groups = components(compared)
 
     # Exact similarities inside each group.
