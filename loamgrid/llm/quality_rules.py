@@ -43,6 +43,7 @@ def _with_repeat_words(step: DataFrame) -> DataFrame:
 
 def _features(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     bins = _bins()
+    signs = "".join(chr(0x30 + k) for k in range(len(bins)))  # one sign stands for each common word of a text, in a short string that is quick to count in
     step = docs.select(*carry, text_of(text).alias("__text")).withColumns(
         {
             "__words": F.array_remove(F.split("__text", "[ \\t-\\r]+"), ""),
@@ -58,19 +59,19 @@ def _features(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
             "n_symbols": (F.length("__text") - F.length(F.regexp_replace("__text", "[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__windows": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>")),
-            "__common": F.array_remove(F.transform("__words", lambda w: F.array_position(F.array(*map(F.lit, bins)), F.lower(w))), 0),
+            "__common": F.array_join(F.transform(F.filter(F.transform("__words", F.lower), lambda w: w.isin(bins)), lambda w: F.substring(F.lit(signs), F.array_position(F.array(*map(F.lit, bins)), w).cast("int"), F.lit(1))), ""),
             "__left0": F.col("__text"),
         }
     )
     for k, pattern in enumerate(CLASSES.values()):
         step = step.withColumn(f"__left{k + 1}", F.regexp_replace(f"__left{k}", pattern, ""))
     left = [F.length(f"__left{k}").cast("long") for k in range(len(CLASSES) + 1)]
-    hits = [(F.size("__common") - F.size(F.array_remove("__common", b + 1))).cast("long") for b in range(len(bins))]
+    hits = [(F.octet_length("__common") - F.octet_length(F.replace("__common", F.lit(c), F.lit("")))).cast("long") for c in signs]
     return _with_repeat_words(step).select(
         *carry,
         *COUNTS,
         F.array(*[a - b for a, b in zip(left, left[1:])], left[-1]).alias("__class_hist"),
-        F.array(*hits, F.col("n_words") - F.size("__common")).alias("__word_hist"),
+        F.array(*hits, F.col("n_words") - F.octet_length("__common")).alias("__word_hist"),
     )
 
 
