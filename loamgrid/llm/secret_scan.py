@@ -7,7 +7,9 @@ the whole corpus. What many owners carry is a copied example; what belongs to fe
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,11 +25,38 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "owned")
 
-#: The method's own candidates: long runs that mix letters and digits.
+#: The method's own candidates: long runs that mix letters and digits, are no address, path or UUID, and look random.
 OWNED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+ADDRESS = re.compile(r"(?i:https?:|ftp:|www\.)\S*")
+#: Bits a character that a candidate's own distribution of characters must have.
+LEAST_BITS = 3.3
 SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def looks_random(run: str) -> bool:
+    """Letters and digits, no UUID, no path of words, no word and number joined, and characters spread as in a key."""
+    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)) or UUID.fullmatch(run):
+        return False
+    parts = [p for p in re.split("[/_=+-]+", run) if p]
+    if len(parts) > 1 and all(p.isalpha() or p.isdigit() for p in parts):
+        return False
+    if re.fullmatch("[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+", run):
+        return False
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in Counter(run).values()) >= LEAST_BITS
+
+
+def _outside(spans: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[bool]:
+    """Which spans touch none of the covered ones; spans are in order and don't overlap each other."""
+    covered, out, k, end = sorted(covered), [], 0, -1
+    for a, b in spans:
+        while k < len(covered) and covered[k][0] < b:
+            end = max(end, covered[k][1])
+            k += 1
+        out.append(end <= a)
+    return out
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, hash of the value) of all candidates, in order of start and kind; code points, end exclusive."""
     found = []
@@ -38,12 +67,9 @@ def find_spans(text: str) -> list[tuple[str, int, int, str]]:
         found += [("access", *m.span(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", *m.span(), m[0]) for m in HEX.finditer(text)]
     if any(len(w) >= 20 and not w.isalpha() for w in text.split()):
-        base = [(a, b) for _, a, b, _ in found]
-        found += [
-            ("owned", *m.span(), m[0])
-            for m in OWNED.finditer(text)
-            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in base)
-        ]
+        runs = [m for m in OWNED.finditer(text) if looks_random(m[0])]
+        covered = [(a, b) for _, a, b, _ in found] + ([m.span() for m in ADDRESS.finditer(text)] if runs else [])
+        found += [("owned", *m.span(), m[0]) for m, free in zip(runs, _outside([m.span() for m in runs], covered), strict=True) if free]
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return [(k, a, b, hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()) for k, a, b, v in found]
 
@@ -73,7 +99,7 @@ def secret_scan(
     pairs that carry the value (null is a value of its own). live: the value is of one owner, however often it stands
     there; or its owners are at most owner_share of the corpus's owners, and the distinct texts that carry it at most
     repository_share of the repositories of its owners. In a small corpus most_owners owners and most_repositories
-    texts are never too many. Candidates of the three base kinds are all kept; one of kind owned is kept only if it is live. Null
+    texts are never too many. Candidates of the three base kinds are all kept; one of kind owned (a long run of letters and digits that looks random, outside of base spans and addresses) is kept only if it is live. Null
     and empty texts have none; rows with equal ids are scanned one by one and count as one repository.
     """
     docs = without(docs, "secrets")

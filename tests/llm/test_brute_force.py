@@ -1,8 +1,10 @@
 """Operators against plain Python on the smallest tables and on random texts."""
 
+import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loamgrid.llm import bpe_codec, language_id, ngram_join, quality_classifier, sharding, token_counts
+from loamgrid.llm import bpe_codec, language_id, ngram_join, quality_classifier, secret_scan, sharding, token_counts
 from loamgrid.llm.decontaminate import decontaminate
 from loamgrid.llm.license_scan import ORACLE, op2_license_scan
 from loamgrid.llm.quality_rules import COUNTS, op10_quality_rules
@@ -155,11 +157,50 @@ def test_quality_counts(spark, table):
     assert not got.kept[got.base_failed].any() and got.kept[~got.base_failed].mean() > 0.9
 
 
+def base_spans(text):
+    """The three base kinds by plain patterns, in the order of their digests."""
+    kinds = [
+        ("assign", [m.span() for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text) if len(m[2]) >= 12]),
+        ("access", [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]),
+        ("hex", [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]),
+    ]
+    return kinds, sorted((a, k, b) for k, (_, spans) in enumerate(kinds) for a, b in spans)
+
+
 def test_secret_base_spans(spark, table):
     got = op3_secret_scan(spark, SF).toPandas().set_index("doc_id")
     for i, t in zip(table.doc_id, table.text):
-        assert got.n_hex[i] == sum(len(x) >= 16 for x in re.findall("[0-9a-f]+", t))
-        assert got.n_access[i] == sum(len(x) >= 18 for x in re.findall("AKIA[A-Z0-9]+", t))
+        kinds, spans = base_spans(t)
+        assert [got.loc[i, f"n_{k}"] for k, _ in kinds] == [len(s) for _, s in kinds]
+        listed = [f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans]
+        assert got.base_sha256[i] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(got.spans[i].split(",")) | {""}
+
+
+def test_secret_owners_over_the_corpus(spark, table):
+    """Owners and repositories of every value, counted by hand."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held, texts = defaultdict(set), defaultdict(set)
+    for i, t, s in zip(table.doc_id, table.text, table.source):
+        for *_, value in secret_scan.find_spans(t):
+            held[value].add((s, i))
+            texts[value].add(t)
+    sizes = Counter(table.source)
+    for r in secret_scan.secret_scan(docs, carry=["doc_id"]).collect():
+        for s in r.secrets:
+            owners = {o for o, _ in held[s.value]}
+            few = len(owners) <= max(2, 0.2 * len(sizes)) and len(texts[s.value]) <= max(50, 0.2 * sum(sizes[o] for o in owners))
+            assert (s.owners, s.repositories, s.live) == (len(owners), len(held[s.value]), len(owners) == 1 or few)
+
+
+def test_own_secrets_have_structure():
+    found = lambda t: [(k, a, b) for k, a, b, _ in secret_scan.find_spans(t)]
+    assert found("key mixedRun1234567890abcXYZ end") == [("owned", 4, 28)]
+    for t in ("see https://host.example/a/B9c8D7x6F5q4Z3c2K1w8/xyz", "id 123e4567-e89b-12d3-a456-426614174000", "some/long-path_of/words-and/2024", "chapter0000000000000012345", "aaaaaaaaaaaaaaaa1111aaaa2222"):
+        assert found(t) == []
+    t = " ".join(f"token={k:012d}abcdef Zx9{k:05d}qWeRtYuIoPaS" for k in range(4000))
+    began = time.time()
+    assert len(found(t)) >= 8000 and time.time() - began < 5
 
 
 @pytest.fixture(scope="module")
