@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -142,14 +143,14 @@ def _topics(spark):
 
 
 def topic_cascade(spark, sf_dir):
-    q = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.substring("text", 1, 40).alias("query"), F.col("topic").alias("chunk_topic"), (F.col("turn") / 8).alias("score"), F.when(F.col("turn") > 0, F.col("mood")).alias("current_topic"))
+    q = _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"), F.col("topic").alias("chunk_topic"), (F.col("turn") / 8).alias("score"), F.when(F.col("turn") > 0, F.col("mood")).alias("current_topic"))
     return D.topic_cascade(q, _topics(spark))
 
 
 def drift(spark, sf_dir):
     before = F.lag("text").over(S.by_turn())
-    t = _turns(spark, sf_dir).withColumn("before", F.substring(before, 1, 30))
-    return t.select("conv_id", "turn", D.drift(F.substring("text", 1, 60), F.col("before"), F.array("topic")).alias("drifted"))
+    t = _turns(spark, sf_dir).withColumn("before", before)
+    return t.select("conv_id", "turn", D.drift(F.col("text"), F.col("before"), F.array("topic")).alias("drifted"))
 
 
 def gap_detect(spark, sf_dir):
@@ -180,7 +181,7 @@ def generation_decision(spark, sf_dir):
 
 def golden_set(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    a = docs.select("doc_id", F.col("text").alias("answer"), F.array(F.substring("text", 1, 5), F.element_at(F.array(F.lit("the"), F.lit("der"), F.lit("la")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("facts"), F.when(F.col("doc_id") % 4 == 0, "").otherwise("some").alias("evidence"))
+    a = docs.select("doc_id", F.col("text").alias("answer"), F.array(F.substring_index("text", "\n", 1), F.element_at(F.array(F.lit("the"), F.lit("der"), F.lit("la")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("facts"), F.when(F.col("doc_id") % 4 == 0, "").otherwise("some").alias("evidence"))
     return D.golden(a).select("doc_id", "correct")
 
 
@@ -221,11 +222,15 @@ def session_replay(spark, sf_dir):
 
 
 def bundle_scan(spark, sf_dir):
-    """Every document as a bundle of one chunk, written as its entries and read back by the chunk scan; Spanish ones are spoilt on purpose, which the scan drops."""
-    body = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("faq").alias("type"), F.struct(F.struct(F.col("text").alias("answer")).alias("en")).alias("content"), F.array("source").alias("aspects")))
-    line = F.when(F.col("lang") != "es", body).otherwise(F.lit("not json"))
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("bundle"), F.lit("chunks.jsonl").alias("path"), F.encode(line, "UTF-8").alias("bytes"))
-    found = B.chunks(files)
+    """Every document as a zipped bundle of its own, with a good chunk, one without content and a line that isn't JSON; opened again and read by the chunk scan, which drops the last two."""
+    chunk = lambda content: F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("faq").alias("type"), content.alias("content"), F.array("source").alias("aspects")), {"ignoreNullFields": "false"})
+    lines = F.concat_ws("\n", chunk(F.struct(F.struct(F.col("text").alias("answer")).alias("en"))), F.lit("not json"), chunk(F.lit(None).cast("struct<en:string>")))
+
+    @F.pandas_udf("binary")
+    def zipped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: B.zipped([("chunks.jsonl", t.encode("utf-8", "surrogatepass"))]))
+
+    found = B.chunks(B.unzipped(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), zipped(lines).alias("content"))))
     return found.select(F.col("id").cast("long").alias("doc_id"), F.length(F.get_json_object("content", "$.en.answer")).cast("long").alias("n_chars"), F.get("aspects", 0).alias("aspect"))
 
 
@@ -258,7 +263,7 @@ _TV = ", ".join(f"({o}, '{t}')" for o, t in TOPICS)
 _STACK = f"WITH {_T}, c AS (SELECT *, CASE WHEN lag(topic) OVER w IS NULL OR lag(topic) OVER w <> topic THEN topic END AS ch FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), k AS (SELECT *, list_slice(list_reverse(list(ch) FILTER (ch IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn)), 1, 5) AS stack FROM c)"
 
 ORACLES = {
-    "bundle_scan": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, source AS aspect FROM documents WHERE lang <> 'es'",
+    "bundle_scan": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, source AS aspect FROM documents",
     "event_build": "SELECT event_id, sha256(CAST(user_id AS VARCHAR) || 'salt') AS user_hash, event_type, len(string_split_regex(trim(props), '\\s+')) AS n_words, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "session_build": """WITH s AS (SELECT user_id AS session, CAST(floor((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000) AS BIGINT) AS seconds, count(*) AS messages, count(DISTINCT event_type) AS topics FROM events GROUP BY user_id)
 SELECT *, CASE WHEN seconds < 60 THEN CAST(seconds AS VARCHAR) || 's' ELSE CAST(seconds // 60 AS VARCHAR) || 'm ' || CAST(seconds % 60 AS VARCHAR) || 's' END AS lasted FROM s""",
@@ -286,12 +291,12 @@ SELECT conv_id, turn, CASE WHEN len(m) = 3 AND m[2] = m[3] THEN m[2] ELSE m[1] E
     "turn_buffer8": f"WITH {_T} SELECT conv_id, turn, array_to_string(list(mood) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ',') AS buffer, lag(mood) OVER (PARTITION BY conv_id ORDER BY turn) AS before, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS n_turns FROM t",
     "topic_stack": _STACK + " SELECT conv_id, turn, array_to_string(stack, ',') AS stack FROM k",
     "slot_ttl": f"WITH {_T}, s AS (SELECT conv_id, turn, max(CASE WHEN mood = 'panic' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM t) SELECT conv_id, turn, CASE WHEN turn - last <= 2 THEN last END AS slot FROM s",
-    "topic_cascade": f"""WITH {_T}, q AS (SELECT conv_id * 1000 + turn AS query_id, lower(substr(text, 1, 40)) AS low, {_TOK.format("substr(text, 1, 40)", 2)} AS qt, topic, turn / 8 AS score, CASE WHEN turn > 0 THEN mood END AS cur FROM t),
+    "topic_cascade": f"""WITH {_T}, q AS (SELECT conv_id * 1000 + turn AS query_id, lower(text) AS low, {_TOK.format("text", 2)} AS qt, topic, turn / 8 AS score, CASE WHEN turn > 0 THEN mood END AS cur FROM t),
 p AS (SELECT ord, topic AS name, {_TOK.format("topic", 2)} AS tt FROM (VALUES {_TV}) v(ord, topic)),
 n AS (SELECT query_id, arg_min(name, ord) AS named FROM q JOIN p ON contains(low, lower(name)) OR (len(tt) > 0 AND list_has_all(qt, tt)) GROUP BY query_id)
 SELECT query_id, coalesce(named, CASE WHEN list_has_any(qt, {_TOK.format("topic", 2)}) OR score > 0.6 OR cur IS NULL THEN topic END, cur) AS primary_topic FROM q LEFT JOIN n USING (query_id)""",
-    "drift": f"""WITH {_T}, b AS (SELECT *, substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 30) AS before FROM t)
-SELECT conv_id, turn, CASE WHEN before IS NULL THEN false ELSE NOT list_has_any({_TOK.format("substr(text, 1, 60)", 2)}, {_TOK.format("before", 2)}) AND lower(topic) <> lower(before) END AS drifted FROM b""",
+    "drift": f"""WITH {_T}, b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t)
+SELECT conv_id, turn, CASE WHEN before IS NULL THEN false ELSE NOT list_has_any({_TOK.format("text", 2)}, {_TOK.format("before", 2)}) AND lower(topic) <> lower(before) END AS drifted FROM b""",
     "gap_detect": """WITH n AS (SELECT DISTINCT conv_id AS query_id, unnest(['dosage', 'referral', 'treatment', 'costs', 'storage', 'danger_signs']) AS aspect FROM conversations),
 c AS (SELECT conv_id AS query_id, ['dosage', 'treatment', 'costs', 'none'][CAST(turn % 4 + 1 AS INT)] AS aspect FROM conversations),
 g AS (SELECT query_id, aspect, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(list_position(['danger_signs', 'treatment', 'dosage', 'referral', 'diagnosis', 'prevention'], aspect), 999), aspect) AS rank FROM n ANTI JOIN c USING (query_id, aspect))
@@ -302,7 +307,7 @@ s AS (SELECT query_id, topic, ord, coalesce(lower(topic) = word, false) AS exact
 SELECT query_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, alike DESC, ord) AS k FROM s) WHERE k = 1""",
     "answer_select": f"""WITH {_T}, p AS (SELECT *, string_split(text, '.') AS s FROM t) SELECT conv_id, turn, CASE mood WHEN 'panic' THEN coalesce(nullif(s[3], ''), nullif(s[1], '')) WHEN 'affirm' THEN coalesce(nullif(s[4], ''), 'Refer if in doubt.') ELSE coalesce(nullif(s[1], ''), 'No answer.') END AS answer FROM p""",
     "generation_decision": "SELECT conv_id, turn, CASE WHEN turn > 5 THEN 'fallback' WHEN contains(text, '|') THEN 'direct' WHEN len(string_split_regex(trim(text), '\\s+')) > 80 OR len(string_split(text, chr(10))) > 3 THEN 'generate' ELSE 'direct' END AS decision FROM conversations",
-    "golden_set": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN regexp_matches(lower(text), 'don''t have|do not have|not available|no information') ELSE contains(lower(text), lower(substr(text, 1, 5))) AND contains(lower(text), ['the', 'der', 'la'][CAST(doc_id % 3 + 1 AS INT)]) END AS correct FROM documents",
+    "golden_set": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN regexp_matches(lower(text), 'don''t have|do not have|not available|no information') ELSE contains(lower(text), lower(string_split(text, chr(10))[1])) AND contains(lower(text), ['the', 'der', 'la'][CAST(doc_id % 3 + 1 AS INT)]) END AS correct FROM documents",
     "chips": _STACK + ", x AS (SELECT conv_id, turn, list_concat([CASE WHEN mood = 'panic' THEN 'What should I do now?' ELSE 'Tell me more' END], list_transform(stack, lambda y: 'About ' || y)) AS a FROM k) SELECT conv_id, turn, array_to_string(list_slice(list_filter(a, lambda w, i: list_position(a, w) = i), 1, 3), '; ') AS chips FROM x",
     "tree_walk": """WITH RECURSIVE edges AS (SELECT concat('r', r_regionkey) AS src, concat('n', n_nationkey) AS dst, n_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey
 UNION ALL SELECT concat('n', c_nationkey), concat('s', c_nationkey, c_mktsegment), c_mktsegment FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)),

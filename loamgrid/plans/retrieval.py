@@ -71,7 +71,7 @@ def bm25_anchor(spark, sf_dir):
 
 
 def class_boost(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("type"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("type"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
     rules = spark.createDataFrame(CLASSES, "class string, term string")
     return R.class_boost(word_lists(spark, sf_dir, 20), passages(spark, sf_dir), docs, rules, GENERIC, TYPES)
 
@@ -149,17 +149,17 @@ def fuzzy_faq(spark, sf_dir):
 
 
 def pattern_routing(spark, sf_dir):
-    titled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 60).alias("title"))
+    titled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring_index("text", "\n", 1).alias("title"))
     return R.pattern_routing(word_lists(spark, sf_dir, 20), passages(spark, sf_dir), titled, spark.createDataFrame(ROUTES, "route string, pattern string, hint string, boost double"))
 
 
 def recall_at_1(spark, sf_dir):
-    """Share of passages whose best document holds the passage, among those that any document holds."""
+    """Share of passages whose best document holds the whole passage, token by token."""
     docs, q = chunks(spark, sf_dir), passages(spark, sf_dir)
-    first = F.array_join(F.slice(T.hybrid_tokens(F.col("query")), 1, 8), " ")
+    passage = F.concat(F.lit(" "), F.array_join(T.hybrid_tokens(F.col("query")), " "), F.lit(" "))
     best = R.ranked(word_lists(spark, sf_dir), "query_id", k=1).select("query_id", "chunk_id")
     whole = best.join(q, "query_id").join(docs, "chunk_id")
-    hit = F.contains(F.array_join(T.hybrid_tokens(F.col("text")), " "), first)
+    hit = F.contains(F.concat(F.lit(" "), F.array_join(T.hybrid_tokens(F.col("text")), " "), F.lit(" ")), passage)
     return whole.agg(F.count(F.lit(1)).alias("queries"), F.sum(hit.cast("long")).alias("hits"), F.round(F.avg(hit.cast("int")), 6).alias("recall"))
 
 
@@ -192,7 +192,7 @@ SELECT * FROM (SELECT *, CAST({ROW} AS INT) AS rank FROM s) WHERE rank <= 10""",
     "class_boost": f"""WITH {BM25}, l AS (SELECT * FROM (SELECT *, {ROW} AS rank FROM bm) WHERE rank <= 20),
 r AS (SELECT * FROM (VALUES {_VALUES(CLASSES)}) v(class, term)),
 nm AS (SELECT DISTINCT query_id, class FROM q JOIN r ON contains(lower(query), term)),
-tx AS (SELECT doc_id AS chunk_id, lang, substr(text, 1, 40) AS title, lower(substr(text, 1, 40) || ' ' || text) AS body FROM documents),
+tx AS (SELECT doc_id AS chunk_id, lang, string_split(text, chr(10))[1] AS title, lower(string_split(text, chr(10))[1] || ' ' || text) AS body FROM documents),
 says AS (SELECT DISTINCT chunk_id, class FROM tx JOIN r ON CASE WHEN contains(term, '*') THEN regexp_matches(body, term) ELSE contains(body, term) END WHERE lang IN ('en', 'fr', 'de')),
 hit AS (SELECT DISTINCT query_id, chunk_id FROM nm JOIN says USING (class))
 SELECT query_id, chunk_id, score * CASE WHEN query_id NOT IN (SELECT query_id FROM nm) OR lang NOT IN ('en', 'fr', 'de') THEN CAST(1 AS DOUBLE) WHEN hit.chunk_id IS NOT NULL THEN CAST(1.4 AS DOUBLE) WHEN regexp_matches(lower(title), '{GENERIC}') THEN CAST(0.6 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS score
@@ -234,10 +234,10 @@ SELECT query_id, min(faq_id) AS faq_id, CAST(1 AS DOUBLE) AS fraction FROM f WHE
     "pattern_routing": f"""WITH {BM25}, l AS (SELECT * FROM (SELECT *, {ROW} AS rank FROM bm) WHERE rank <= 20),
 r AS (SELECT * FROM (VALUES {_VALUES(ROUTES)}) v(route, pattern, hint, boost)),
 a AS (SELECT DISTINCT query_id, route FROM q JOIN r ON regexp_matches(lower(query), pattern)),
-h AS (SELECT doc_id AS chunk_id, route, boost FROM documents JOIN r ON contains(lower(CAST(doc_id AS VARCHAR) || ' ' || substr(text, 1, 60)), hint)),
+h AS (SELECT doc_id AS chunk_id, route, boost FROM documents JOIN r ON contains(lower(CAST(doc_id AS VARCHAR) || ' ' || string_split(text, chr(10))[1]), hint)),
 x AS (SELECT query_id, chunk_id, exp(sum(ln(boost))) AS factor FROM a JOIN h USING (route) GROUP BY ALL)
 SELECT query_id, chunk_id, round(score * coalesce(factor, 1.0), 4) AS score FROM l LEFT JOIN x USING (query_id, chunk_id)""",
     "recall_at_1": f"""WITH {BM25}, b AS (SELECT query_id, chunk_id FROM (SELECT *, {ROW} AS rank FROM bm) WHERE rank = 1),
-h AS (SELECT contains(array_to_string(tk, ' '), array_to_string(list_slice({TOK.format("query")}, 1, 8), ' ')) AS hit FROM b JOIN q USING (query_id) JOIN d USING (chunk_id))
+h AS (SELECT contains(' ' || array_to_string(tk, ' ') || ' ', ' ' || array_to_string({TOK.format("query")}, ' ') || ' ') AS hit FROM b JOIN q USING (query_id) JOIN d USING (chunk_id))
 SELECT count(*) AS queries, CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS hits, round(avg(CAST(hit AS INT)), 6) AS recall FROM h""",
 }

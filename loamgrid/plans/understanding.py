@@ -86,7 +86,7 @@ def grounding_score(spark, sf_dir):
 
 
 def truncate_answer(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.md5(D.truncated(F.regexp_replace("text", "\\s+", " "))).alias("answer_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(D.truncated(F.regexp_replace("text", "\\s+", " "))).alias("answer_md5"))
 
 
 def raw_text(spark, sf_dir):
@@ -191,7 +191,7 @@ list_filter(list_transform(list_filter(regexp_extract_all(text, '{_edges(D.CAPIT
 u AS (SELECT conv_id, turn, list_filter(a, lambda w, i: list_position(a, w) = i) AS a FROM t) SELECT conv_id, turn, len(a) AS n_terms, array_to_string(a, '|') AS terms FROM u""",
     "grounding_score": r"""WITH c AS (SELECT a.conv_id, a.turn, list_distinct(list_filter(string_split_regex(lower(a.text), '\s+'), lambda w: length(w) >= 4)) AS cl, lower(u.text) AS ev FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn + 1 = a.turn WHERE a.role = 'assistant' AND u.role = 'user'),
 s AS (SELECT conv_id, turn, CASE WHEN len(cl) = 0 THEN 1.0 ELSE round(len(list_filter(cl, lambda w: contains(ev, w))) / len(cl), 6) END AS score FROM c) SELECT conv_id, turn, CAST(score AS DOUBLE) AS score, score >= 0.7 AS grounded FROM s""",
-    "truncate_answer": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS x FROM documents WHERE lang = 'en'),
+    "truncate_answer": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS x FROM documents),
 s AS (SELECT doc_id, x, len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) AS n, regexp_extract_all(x, '[^.!?]+[.!?]+') AS a FROM t),
 r AS (SELECT *, list_filter(list_transform(list_slice(a, 3, 6), lambda y: trim(y)), lambda y: y <> '') AS rest, trim(array_to_string(list_slice(a, 1, 2), ' ')) AS spoken FROM s)
 SELECT doc_id, md5(CASE WHEN n <= 120 OR len(a) = 0 THEN x WHEN len(rest) > 0 THEN spoken || chr(10) || chr(10) || 'Key points:' || chr(10) || array_to_string(list_transform(rest, lambda y: '• ' || regexp_replace(array_to_string(list_slice(string_split_regex(y, '\s+'), 1, 12), ' '), '[.!?]+$', '')), chr(10)) ELSE spoken END) AS answer_md5 FROM r""",

@@ -22,7 +22,12 @@ VERSIONS = ("3.0", "4.0")
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """(bundle, path, bytes) of every entry of the zip files at path; slashes around names are cut, folders left out."""
+    """(bundle, path, bytes) of every entry of the zip files at path."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzipped(archives: DataFrame) -> DataFrame:
+    """(bundle, path, bytes) of every entry of zip files (path, content); slashes around names are cut, folders left out."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -32,7 +37,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
                         if name.strip("/") and not name.endswith("/"):
                             yield pd.DataFrame({"bundle": [bundle], "path": [name.strip("/")], "bytes": [z.read(name)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "bundle string, path string, bytes binary")
+    return archives.mapInPandas(unzip, "bundle string, path string, bytes binary")
 
 
 def _text(files: DataFrame, path: str) -> DataFrame:
