@@ -1,13 +1,14 @@
 """License scan by diagonal voting (DataFrame functions only).
 
-Every rolling pair of words of every document is joined by hash to its places in a list of notices. Hits on one diagonal
-(place in the document less place in the notice) stand for one occurrence; hits of neighbouring diagonals are merged, so
-that a few inserted or missing words do no harm.
+Every rolling run of k words of every document is joined by hash to its places in a list of templates: phrases and
+notices of any length, up to whole licence texts. Hits on one diagonal (place in the document less place in the
+template) stand for one occurrence; hits of neighbouring diagonals are merged, so that a few inserted or missing words
+do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.common import text_of
@@ -15,7 +16,7 @@ from loamgrid.llm.common import text_of
 # The phrases whose exact places count, and the label of each.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Well-known notices and the label of each, at most 65 words.
+# Well-known notices and licence texts, and the label of each.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
@@ -25,6 +26,9 @@ NOTICES = {
     "this work is licensed under the gnu general public license version 3": "gpl-3.0",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-text",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2.0-header",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0",
 }
 
@@ -32,10 +36,16 @@ SPLIT = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 OUTPUT = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
+def _lowered(text: Column) -> Column:
+    """A to Z in lower case, the rest as it is: letters that only their small form makes ASCII keep apart."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, capitals, capitals.lower())).otherwise(F.lower(text))
+
+
 def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """One row per pair of neighbouring words of each template, and one (template -1) that every document hits."""
     rows = [(k, label, base, len(text.split())) + (i, *text.split()[i : i + 2]) for k, (text, label, base) in enumerate([*((t, x, True) for t, x in phrases.items()), *((t, x, False) for t, x in notices.items())]) for i in range(len(text.split()) - 1)]
-    assert all(2 <= n <= 65 for *_, n, _, _, _ in rows)
     pairs = spark.createDataFrame(rows, "template int, label string, base boolean, length int, at int, w1 string, w2 string")
     anchor = spark.range(1).selectExpr("-1 template", "cast(null as string) label", "false base", "1 length", "0 at", "cast(null as string) w1", "cast(null as string) w2", "0L h")
     return pairs.withColumn("h", F.xxhash64("w1", "w2")).unionByName(anchor)
@@ -50,10 +60,10 @@ def license_scan(
     smallest and largest starts). A notice is found where at least the share `least` of its word pairs is hit on
     diagonals that are at most `apart` from the next; the words themselves are compared, not only hashes. labels
     holds the labels of both, score the largest share found (0 if none). Null and empty texts give zeros, empty label
-    strings and null places; rows with equal or null ids stay apart.
+    strings and null places; rows with equal or null ids stay apart; other columns of docs are not carried, whatever their names.
     """
     spark = docs.sparkSession
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.array_remove(F.split(F.lower(text_of(text)), SPLIT), "").alias("words"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.array_remove(F.split(_lowered(text_of(text)), SPLIT), "").alias("words"))
     n = F.size("words")
     pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<bigint>"))
     rolling = words.withColumns({"n_words": n.cast("long"), "hashes": F.concat(F.array(F.lit(0).cast("long")), pairs)})
@@ -63,12 +73,12 @@ def license_scan(
     same = (F.get("words", F.col("at1") - 1) == F.col("w1")) & (F.get("words", F.col("at1")) == F.col("w2"))
     hits = hits.filter((F.col("template") < 0) | same)
     one = ["row", "doc_id", "n_words", "template", "label", "base", "length"]
-    voted = hits.groupBy(*one, (F.col("at1") - 1 - F.col("at")).alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, at))").alias("hit"))
-    voted = voted.filter((F.col("template") < 0) | (F.bit_count("hit") >= F.when(F.col("base"), F.col("length") - 1).otherwise(2)))
+    voted = hits.groupBy(*one, (F.col("at1") - 1 - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_list("at")).alias("hit"))
+    voted = voted.filter((F.col("template") < 0) | (F.size("hit") >= F.when(F.col("base"), F.col("length") - 1).otherwise(2)))
     gap = "case when base or diagonal - lag(diagonal) over (partition by row, template order by diagonal) > %d then 1 else 0 end" % apart
     merged = voted.selectExpr("*", f"{gap} as gap").selectExpr("*", "sum(gap) over (partition by row, template order by diagonal) as run")
-    spans = merged.groupBy(*one, "run").agg(F.expr("bit_or(hit)").alias("hit"), F.min("diagonal").cast("long").alias("start"))
-    spans = spans.withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(F.bit_count("hit") / (F.col("length") - 1))).filter((F.col("template") < 0) | (F.col("share") >= least))
+    spans = merged.groupBy(*one, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.min("diagonal").cast("long").alias("start"))
+    spans = spans.withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(F.col("hit") / (F.col("length") - 1))).filter((F.col("template") < 0) | (F.col("share") >= least))
     labels = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     place = F.when(F.col("base"), F.col("start"))
     return spans.groupBy("row", "doc_id", "n_words").agg(

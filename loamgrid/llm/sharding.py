@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import text_of, without, written
 
 OUTPUT = ["shard", "slot"]
+#: Most copies of a row that are numbered at once.
+STEP = 100_000
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -100,13 +102,15 @@ def hypergeometric_shuffle(docs: DataFrame, *, shards: int = 16, seed: int = 7,
     recomputed task gives the same places. Rows equal in every column are first counted and then numbered, which
     spreads any number of them; they are interchangeable. Nulls are values like others; an empty table gives an empty
     one; input columns named shard or slot give way. Columns must be groupable (no maps). parts: source partitions, a
-    power of two; by default at least 256 and about one per 100,000 rows, up to 4,096.
+    power of two; by default at least 256 and about one per 100,000 rows.
     """
     docs = without(docs, *OUTPUT)
     names = docs.columns
-    rows = docs.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+    # Copies are numbered in two steps, so that no array is longer than STEP or the number of copies by STEP.
+    rows = docs.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / STEP))))
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.col("__k") * STEP + 1, F.least(F.col("__n"), (F.col("__k") + 1) * STEP)))).drop("__n", "__k")
     if parts is None:
-        parts = min(4096, max(256, 1 << math.ceil(math.log2(max(1, docs.count() / 100_000)))))
+        parts = max(256, 1 << math.ceil(math.log2(max(1, docs.count() / 100_000))))
     key = lambda use: F.xxhash64(F.lit(seed), F.lit(use), *names, "__copy")
     rows = rows.withColumns({"part": F.pmod(key("part"), F.lit(parts)), "__first": key("first"), "__second": key("second")}).drop("__copy")
     counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))

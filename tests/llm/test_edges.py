@@ -17,7 +17,7 @@ def docs(spark):
     return spark.createDataFrame([(*r, True, "x", 1, "y", 0.5, "z", "t") for r in ROWS], SCHEMA)
 
 
-def test_sharding(docs):
+def test_sharding(docs, spark):
     for df in (docs, docs.limit(0)):
         out = sharding.hypergeometric_shuffle(df, shards=3, parts=8).collect()
         assert len(out) == df.count()
@@ -26,6 +26,8 @@ def test_sharding(docs):
             assert own == list(range(len(own)))
         sizes = [sum(r.shard == s for r in out) for s in range(3)]
         assert max(sizes) - min(sizes) <= 1
+    sharding.STEP, many = 7, spark.range(40).selectExpr("1 as x")
+    assert sorted(r.slot for r in sharding.hypergeometric_shuffle(many, shards=1, parts=8).collect()) == list(range(40))
 
 
 def test_license_scan(docs, spark):
@@ -35,6 +37,12 @@ def test_license_scan(docs, spark):
     text = "CC-BY. All rights reserved! released under the big MIT license; cc by"
     r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (13, 3, 0, 11, "cc-by,reserved", "cc-by,reserved", 1.0)
+    whole = next(t for t, label in license_scan.NOTICES.items() if label == "mit-text").split()
+    less = " ".join(["We", *whole[:60], "kindly", *whole[60:90], *whole[94:], "end"])
+    rows = [(1, less), (2, "this wor\u212a is licensed under the GNU General Public License version 3"), (3, " ".join(whole[:40]))]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(whole) > 65 and "mit-text" in got[1].labels and 0.9 < got[1].score <= 1
+    assert got[2].base_labels == "gpl" and got[2].n_words == 12 and "mit-text" not in got[3].labels
 
 
 def test_secret_scan(docs, spark):
