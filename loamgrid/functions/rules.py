@@ -95,3 +95,22 @@ AGE_WORDS = [
     ("child|kid", "adult|woman|man|mother|father", "child", 48),
 ]
 INTENT_GROUPS = {"PROCEDURE": "treatment_dosage", "DETAIL": "treatment_dosage", "CLINICAL": "symptom_check", "URGENT": "referral_criteria"}
+
+# How a patient is spoken of, and how general information is asked for; words on lower case.
+PATIENT_WORDS = "patient baby child mother pikin kg pregnant she he her him infant toddler boy girl".split() + ["the woman", "the man", "years? old", "months? old", "weeks? old", "days? old"]
+INFORMATIONAL = ["what is", "what are", "what does", "define", "explain", "tell me about", "coverage", "insurance", "nhis", "scheme", "eligibility", "accreditation", "registration", "requirements", "how to register", "how to enroll"]
+PEDIATRIC = ["baby", "infant", "child", "pikin", "toddler", "neonate", "newborn", "boy", "\\d+\\s*(?:year|month|week|day)s?\\s*old"]
+
+# Danger signs by pattern on lower case, in order, and what each is of.
+DANGER_SIGNS = [
+    ("convulsions", "convuls|fitting|seizure"),
+    ("unconsciousness", "unconscious|not responding|unresponsive|lethargi"),
+    ("unable to drink", "(?:unable|cannot|can'?t|not able)\\s*(?:to\\s*)?(?:drink|breastfeed|eat|swallow)"),
+    ("severe bleeding", "(?:severe|heavy|massive)\\s*bleed"),
+    ("breathing failure", "not\\s*breath|stopped?\\s*breath|apn[oe]a|blue|cyanosis"),
+    ("shock", "shock|weak\\s*pulse|cold\\s*extremit"),
+]
+
+# What a failed compilation left in place of an answer; ways of asking back instead of answering, on lower case.
+COMPILER_ERRORS = ["does not contain any meaningful information", "no meaningful information to process", "provided text does not contain"]
+DEFLECTIONS = ["tell me more about your (?:patient|role|situation|query)", "tell me what (?:type|kind|aspect|specific)", "what specific (?:aspect|type|area|information)", "can you (?:tell me|provide) more (?:about|details)", "please (?:tell me|provide|share) more"]

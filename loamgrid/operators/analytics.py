@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -121,3 +122,10 @@ def bundle_report(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def duration_text(seconds: Column) -> Column:
     return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))
+
+
+def pattern_counts(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """One row: how many texts each pattern is found in, and how many none is found in."""
+    found = [F.col(text).rlike(p) for p in patterns.values()]
+    none = ~functools.reduce(lambda a, b: a | b, found)
+    return df.agg(*[F.count_if(f).alias(name) for name, f in zip(patterns, found, strict=True)], F.count_if(none).alias("none"))
