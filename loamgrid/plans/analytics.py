@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,6 +13,7 @@ from loamgrid.operators import retrieval as R
 from loamgrid.operators import sessions as S
 from loamgrid.plans.retrieval import table
 from loamgrid.plans.understanding import CATEGORIES
+from loamgrid.shared import written
 from loamgrid.sources import bundle as B
 
 DOSES = [(1, 5.0, 15.0, "1 tablet"), (2, 15.0, 25.0, "2 tablets"), (3, 25.0, 35.0, "3 tablets"), (4, 35.0, None, "4 tablets")]
@@ -210,13 +208,7 @@ def session_replay(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     asked = turns.select("conv_id", place.cast("long").alias("turn"), F.col("text").alias("query")).withColumn("query_id", F.struct("conv_id", "turn"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-
-    def keep(df, name):
-        df.write.parquet(path := f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(path)
-
-    asked = keep(asked, "asked")
+    asked = written(asked, "asked")
     scores = R.bm25(asked, R.okapi_postings(docs, R.query_terms(asked)))
     return S.replay(asked.select("conv_id", "turn", "query_id"), scores, None, None)
 
@@ -234,17 +226,6 @@ def bundle_scan(spark, sf_dir):
     return found.select(F.col("id").cast("long").alias("doc_id"), F.length(F.get_json_object("content", "$.en.answer")).cast("long").alias("n_chars"), F.get("aspects", 0).alias("aspect"))
 
 
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or a temporary folder in local mode where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 QUERIES = {
     f.__name__: f
     for f in (

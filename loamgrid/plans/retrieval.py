@@ -42,13 +42,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.okapi_postings(chunks(spark, sf_dir), R.query_terms(passages(spark, sf_dir)))
-
-
-def word_lists(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
-    scores = R.bm25(passages(spark, sf_dir), postings(spark, sf_dir))
-    return R.ranked(scores, "query_id", k=k) if k else scores
+def word_lists(spark: SparkSession, sf_dir: str, k: int, **how) -> DataFrame:
+    return R.word_lists(passages(spark, sf_dir), chunks(spark, sf_dir), k, **how)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +61,13 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_anchor(spark, sf_dir):
-    q, p = passages(spark, sf_dir), postings(spark, sf_dir)
-    return R.ranked(R.rare_term_anchor(q, p, R.bm25(q, p)), "query_id", k=10)
+    return word_lists(spark, sf_dir, 10, anchored=True)
 
 
 def class_boost(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("type"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
     rules = spark.createDataFrame(CLASSES, "class string, term string")
-    return R.class_boost(word_lists(spark, sf_dir, 20), passages(spark, sf_dir), docs, rules, GENERIC, TYPES)
+    return R.class_boost(word_lists(spark, sf_dir, 20).drop("rank"), passages(spark, sf_dir), docs, rules, GENERIC, TYPES)
 
 
 def cosine_topk(spark, sf_dir):
@@ -111,10 +105,7 @@ def confidence_tier(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    words = word_lists(spark, sf_dir, 20)
-    terms = R.query_terms(passages(spark, sf_dir))
-    plain = chunks(spark, sf_dir).select("chunk_id", F.explode(F.array_distinct(T.hybrid_tokens(F.col("text")))).alias("term")).join(R.broadcast_if_small(terms, 500_000), "term")
-    shared = R.ranked(plain.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score")), "query_id", k=20)
+    words, shared = (word_lists(spark, sf_dir, 20, shared=x) for x in (False, True))
     return R.rrf(words, shared)
 
 
@@ -157,7 +148,7 @@ def recall_at_1(spark, sf_dir):
     """Share of passages whose best document holds the whole passage, token by token."""
     docs, q = chunks(spark, sf_dir), passages(spark, sf_dir)
     passage = F.concat(F.lit(" "), F.array_join(T.hybrid_tokens(F.col("query")), " "), F.lit(" "))
-    best = R.ranked(word_lists(spark, sf_dir), "query_id", k=1).select("query_id", "chunk_id")
+    best = word_lists(spark, sf_dir, 1).select("query_id", "chunk_id")
     whole = best.join(q, "query_id").join(docs, "chunk_id")
     hit = F.contains(F.concat(F.lit(" "), F.array_join(T.hybrid_tokens(F.col("text")), " "), F.lit(" ")), passage)
     return whole.agg(F.count(F.lit(1)).alias("queries"), F.sum(hit.cast("long")).alias("hits"), F.round(F.avg(hit.cast("int")), 6).alias("recall"))
