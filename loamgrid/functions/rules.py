@@ -12,9 +12,11 @@ NEGATE = "^no[.!?]?$|not that|wrong|different|other|else"
 GREETING = "^(hi|hello|good morning|good afternoon|salam|ẹ káàbọ̀|ndewo)[\\s!.?]*$"
 INTENTS = [("URGENT", URGENT), ("DETAIL", DETAIL), ("REFERRAL", REFERRAL), ("PROCEDURE", PROCEDURE), ("SCOPE", SCOPE), ("DEFINE", DEFINE), ("GREETING", GREETING), ("AFFIRM", AFFIRM), ("NEGATE", NEGATE)]
 
+# Verbs that make a question of a heading, and how a question begins.
 VERBS = "is are was were do does did what how when where why tell explain give show meant said tried asked thinking want need got referring talking mean know think".split()
 QUESTION_START = "^(what|how|when|where|why|who|which|can|should|does)"
 
+# Moods by pattern on lower case, in order.
 SENTIMENTS = [
     ("panic", "urgent|emergency|dying|help me|please|scared|worried|afraid|crisis"),
     ("confused", "don.t understand|not clear|what do you mean|confused|again|repeat"),
@@ -28,6 +30,7 @@ LANGUAGE_MARKERS = {
     "ig": "kedu ka esi amalite ọgwụgwọ ihe ngosi nke ọrịa usoro maka ụmụaka ize ndụ ọhụrụ amụrụ na bụ".split(),
     "pid": [*"wetin pikin dey palava wahala abi shey una".split(), "no be"],
 }
+# Words by which a mode of speech is told.
 PIDGIN_WORDS = "na wetin dey don waka pikin small fit".split()
 ENGLISH_WORDS = "what how when where should can would could".split()
 
@@ -46,6 +49,7 @@ CATEGORIES = [
     ("covid", "covid|corona|sars"),
 ]
 
+# What is out of scope, by pattern on lower case.
 OUT_OF_SCOPE = [
     "capital\\s+of\\s+(nigeria|country|city)",
     "weather\\s+(forecast|today|tomorrow)",
@@ -94,8 +98,16 @@ AGE_WORDS = [
     ("pikin|pekin|pickin|toddler|young child", None, "child", 36),
     ("child|kid", "adult|woman|man|mother|father", "child", 48),
 ]
+# Intents as analytics name them.
 INTENT_GROUPS = {"PROCEDURE": "treatment_dosage", "DETAIL": "treatment_dosage", "CLINICAL": "symptom_check", "URGENT": "referral_criteria"}
 
+# How a message corrects another one (what it names, how it turns, a plain denial), how an age and a weight are told; on lower case.
+CORRECTED = "(?:meant?|mean|it'?s|actually|rather)\\s+(.+?)[\\s.!?]*$"
+CORRECTS = "^(?:no|not|nope|sorry|actually)\\s*[,.]?\\s*(?:i\\s*(?:meant?|mean|was\\s*(?:talking|asking|referring))|it'?s\\s*(?:not|actually)|(?:not\\s+)?(?:\\w+)[,.]?\\s*(?:i\\s*mean|actually|rather))"
+DENIES = "^(?:no|not|nope|actually|sorry)\\s+(?!that\\b)(\\w[\\w\\s]{2,30})$"
+AGE = "(\\d+)\\s*(year|month|week|day|yr|mo|wk|dy)s?\\s*old"
+WEIGHT = "(\\d+(?:\\.\\d+)?)\\s*(kg|kilos?|kgs)"
+
 # How a patient is spoken of, and how general information is asked for; words on lower case.
 PATIENT_WORDS = "patient baby child mother pikin kg pregnant she he her him infant toddler boy girl".split() + ["the woman", "the man", "years? old", "months? old", "weeks? old", "days? old"]
 INFORMATIONAL = ["what is", "what are", "what does", "define", "explain", "tell me about", "coverage", "insurance", "nhis", "scheme", "eligibility", "accreditation", "registration", "requirements", "how to register", "how to enroll"]
