@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.shared import broadcast_if_small, removed, written
+
+__all__ = ["broadcast_if_small", "removed", "text_of", "without", "written"]
+
 
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
@@ -17,26 +18,3 @@ def text_of(column: str = "text") -> Column:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add: an input column of such a name gives way."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one in local mode if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, with its lineage cut, readable after the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/loamgrid-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df, marked for broadcasting if it has at most most_rows rows (counted here); otherwise Spark shuffles it as it sees fit."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
