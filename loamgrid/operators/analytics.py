@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 
 def build_events(raw: DataFrame, salt: str) -> DataFrame:
@@ -49,28 +50,54 @@ def merge_preferences(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(F.broadcast(new.limit(1).toDF(*named))).select(*[F.coalesce(f"__{c}", c).alias(c) for c in old.columns])
 
 
-def throttled(reports: DataFrame, seconds: int = 300) -> DataFrame:
+def _last_accepted(t: np.ndarray, width: int) -> np.ndarray:
+    """For each of the sorted times, if it is accepted: the last one accepted from there on. By pointer doubling: every accepted time points to the first one a width later."""
+    n = len(t)
+    jump, last = np.append(np.searchsorted(t, t + width), n), np.append(np.arange(n), n)
+    while (jump[:n] < n).any():
+        has = np.flatnonzero(jump[:n] < n)
+        last[has], jump[has] = last[jump[has]], jump[jump[has]]
+    return last[:n]
+
+
+def throttled(reports: DataFrame, seconds: int = 300, windows: int = 64) -> DataFrame:
     """At most one report of a kind in a window that starts anew with each accepted report. reports: (kind, ts, id).
 
-    The reports of a kind are cut where a gap of at least the window lies between neighbours: there the next one is accepted whatever came before. Each such run is then walked in order, as rows streamed by its task and not as one group in memory.
+    Each kind is cut into ranges of so many windows. A range maps the time from which it may accept to the last time that it accepts; only times in its first window can matter for that. The maps of a kind are applied in order, in a task that sees no reports but the first window of each range; then each range is walked from where it may accept. Null times are left out.
     """
-    order = Window.partitionBy("kind").orderBy("ts", "id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(order)
-    runs = reports.withColumn("__run", F.sum((F.coalesce(gap, F.lit(2**40)) >= seconds * 1_000_000).cast("int")).over(order))
-    schema = reports.select("kind", "ts", "id").schema
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, None
-        for batch in batches:
-            keep = []
-            for run, ts in zip(zip(batch["kind"], batch["__run"], strict=True), batch["ts"], strict=True):
-                fresh = run != at or (ts - last).total_seconds() >= seconds
-                if fresh:
-                    at, last = run, ts
-                keep.append(fresh)
-            yield batch.loc[keep, ["kind", "ts", "id"]]
-
-    return runs.repartition("kind", "__run").sortWithinPartitions("kind", "__run", "ts", "id").mapInPandas(walk, schema)
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ranged = reports.filter(F.col("ts").isNotNull()).withColumn("__at", at).withColumn("__range", F.floor(F.col("__at") / (width * windows)).cast("long"))
+    kind = reports.schema["kind"]
+
+    def mapped(group: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(group["__at"].to_numpy())
+        some = np.arange(min(len(t), int(np.searchsorted(t, t[0] // (width * windows) * width * windows + width, "right")) + 1))
+        return pd.DataFrame({"kind": [group["kind"].iloc[0]], "__range": [group["__range"].iloc[0]], "times": [t[some]], "exits": [t[_last_accepted(t, width)[some]]]})
+
+    def entered(group: pd.DataFrame) -> pd.DataFrame:
+        group, free, entries = group.sort_values("__range"), np.iinfo(np.int64).min, []
+        for times, exits in zip(group["times"], group["exits"], strict=True):
+            entries.append(free)
+            k = int(np.searchsorted(times, free))
+            free = int(exits[k]) + width if k < len(times) else free
+        return pd.DataFrame({"kind": group["kind"], "__range": group["__range"], "free": entries})
+
+    def walked(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["__at", "id"])
+        t, keep = group["__at"].to_numpy(), []
+        k = int(np.searchsorted(t, group["free"].iloc[0]))
+        while k < len(t):
+            keep.append(k)
+            k = int(np.searchsorted(t, t[k] + width))
+        return group.iloc[keep][["kind", "ts", "id"]]
+
+    named = [kind, ST.StructField("__range", ST.LongType())]
+    times = ST.ArrayType(ST.LongType())
+    maps = ranged.select("kind", "__range", "__at").groupBy("kind", "__range").applyInPandas(mapped, ST.StructType([*named, ST.StructField("times", times), ST.StructField("exits", times)]))
+    entries = maps.groupBy("kind").applyInPandas(entered, ST.StructType([*named, ST.StructField("free", ST.LongType())])).withColumnsRenamed({"kind": "__kind", "__range": "__r"})
+    placed = ranged.join(entries, F.col("kind").eqNullSafe(F.col("__kind")) & (F.col("__range") == F.col("__r"))).drop("__kind", "__r")
+    return placed.groupBy("kind", "__range").applyInPandas(walked, reports.select("kind", "ts", "id").schema)
 
 
 def ring(log: DataFrame, most: int = 200) -> DataFrame:

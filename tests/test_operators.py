@@ -1,6 +1,7 @@
 """Boundaries that the given tables don't have."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def test_throttle_restarts_with_each_accepted_report(spark):
     assert sorted(r.id for r in got) == [0, 2, 4, 5]
 
 
+def test_throttle_across_ranges(spark):
+    rng, start = random.Random(4), dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(seconds=s), i) for k in ("a", None) for i, s in enumerate(sorted(rng.randrange(40_000) for _ in range(600)))]
+    want = []
+    for k in ("a", None):
+        last = None
+        for kind, ts, i in rows:
+            if kind == k and (last is None or (ts - last).total_seconds() >= 300):
+                want.append((str(k), i))
+                last = ts
+    df = spark.createDataFrame(rows, "kind string, ts timestamp, id long")
+    for windows in (1, 3, 64):
+        assert sorted((str(r.kind), r.id) for r in A.throttled(df, 300, windows).collect()) == sorted(want)
+
+
 def test_ack_none_and_all(spark):
     rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1), False, 0) for k in range(4)], "id long, created_at timestamp, synced boolean, attempts int")
     batch = A.next_batch(rows, 3)
