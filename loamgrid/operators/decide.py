@@ -75,7 +75,9 @@ def gaps(needed: DataFrame, covered: DataFrame, priority: list[str] = ASPECT_PRI
 def truncated(text: Column, most_words: int = 120, sentences: int = 2, bullets: int = 4, bullet_words: int = 12) -> Column:
     """A long text as its first sentences and short bullets of the next ones."""
     words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    said = F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]+"), 0)
+    # Without the tail that ends no sentence, in which the pattern would be tried from every character to the end.
+    tail = F.length(F.regexp_extract(F.reverse(text), "^[^.!?]*", 0))
+    said = F.regexp_extract_all(F.substring(text, F.lit(1), F.length(text) - tail), F.lit("[^.!?]+[.!?]+"), 0)
     rest = F.filter(F.transform(F.slice(said, sentences + 1, bullets), lambda s: F.trim(s)), lambda s: s != "")
     short = F.transform(rest, lambda s: F.concat(F.lit("• "), F.regexp_replace(F.array_join(F.slice(F.split(s, "\\s+"), 1, bullet_words), " "), "[.!?]+$", "")))
     spoken = F.trim(F.array_join(F.slice(said, 1, sentences), " "))
