@@ -33,3 +33,17 @@ def test_stages(spark, tmp_path):
     library, texts = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), safe.set_index("doc_id").text
     for r in coded.itertuples():
         assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, and an empty table pass every stage; the rules drop what has too few words."""
+    good = " ".join(a + b + c for a in ("ka", "lo", "mi", "ne") for b in ("ru", "sa", "te", "vo") for c in ("n", "r", "st", "l", "x"))
+    rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, good, None, None, None), (3, good, None, "a", len(good)), (3, good, None, "a", len(good))]
+    whole = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for n, docs in enumerate((whole, whole.limit(0))):
+        counts = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(str(tmp_path / f"{n}-{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{n}-{k}"))
+            counts.append(docs.count())
+        assert counts == ([3, 1, 1, 1, 1] if n == 0 else [0] * 5)
