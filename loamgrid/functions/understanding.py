@@ -79,6 +79,11 @@ def age_months(amount: Column, unit: Column) -> Column:
     return F.when(u.rlike("^y"), half_up(n * 12)).when(u.rlike("^w"), half_up(n / 4.345)).when(u.rlike("^d"), half_up(n / 30.44)).otherwise(half_up(n))
 
 
+def weight_kg(amount: Column, unit: Column) -> Column:
+    """Kilograms; grams by their first letter."""
+    return F.when(F.lower(unit).rlike("^g"), amount.cast("double") / 1000).otherwise(amount.cast("double"))
+
+
 def slots(text: Column) -> Column:
     """(age_months, age_label, weight_kg) as the message tells them; null where it doesn't."""
     low = F.lower(text)

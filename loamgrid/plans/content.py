@@ -10,6 +10,7 @@ from loamgrid.functions import understanding as U
 from loamgrid.operators import analytics as A
 from loamgrid.operators import content as C
 from loamgrid.operators import retrieval as R
+from loamgrid.operators import sessions as PS
 from loamgrid.operators import store as S
 from loamgrid.plans import retrieval as PR
 from loamgrid.plans import understanding as PU
@@ -151,11 +152,35 @@ def cleared_events(spark, sf_dir):
     return S.cleared(e, F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id")
 
 
+def weight_units(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", U.weight_kg(F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, "grams").otherwise("kg")).alias("kg"))
+
+
+def openers(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    intent = F.element_at(F.array(*map(F.lit, ["URGENT", "HEADING_LOOKUP", "DETAIL", "REFERRAL", "SCOPE"])), (k + 1).cast("int"))
+    opened = P.opener(intent, F.concat(F.lit("3.2 "), "p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), {"DETAIL": "On {aspect} of {topic}:", "REFERRAL": "When to refer for {topic}:"}, "An overview of {topic}:")
+    return table(spark, sf_dir, "part").select("p_partkey", opened.alias("opener"))
+
+
+def topic_shift(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 != 3, F.lower(F.substring("text", 1, 1))).alias("topic"), F.when(F.length("text") % 2 == 0, F.col("turn")).alias("slot"))
+    return PS.cleared_on_shift(t, "topic", "slot").select("conv_id", "turn", "shifted", "kept")
+
+
+def repeat_deflection(spark, sf_dir):
+    """Turns as answers of one of two chunks; the same as before is not said again."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.substring("text", 1, 1)).alias("answer"), (F.length("text") % 2).alias("chunk"))
+    before = lambda c: F.lag(c).over(PS.by_turn())
+    held = t.withColumns({"a0": before("answer"), "c0": before("chunk")})
+    return held.select("conv_id", "turn", P.deflected_repeat(F.col("answer"), F.col("a0"), F.col("chunk"), F.col("c0"), "As said before.").alias("answer"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         message_checks, input_validation, danger_escalation, rewrite_query, dose_merge, answer_salvage, artifacts, drug_tables, decision_trees, point_lookup, recursive_text, tier_fallback, result_outcome, module_routing, intent_collisions,
-        pattern_counts, consented_sessions, stored_rows, feedback_records, cleared_events,
+        pattern_counts, consented_sessions, stored_rows, feedback_records, cleared_events, weight_units, openers, topic_shift, repeat_deflection,
     )
 }
 
@@ -202,5 +227,13 @@ UNION ALL SELECT 'intent', c_mktsegment, count(DISTINCT c_nationkey) FROM custom
     "consented_sessions": "SELECT event_id, user_id FROM events WHERE event_id % 10 = 0 OR user_id % 3 <> 0",
     "stored_rows": "SELECT event_id, event_id % 2 = 1 AS synced, CASE WHEN event_id % 3 > 0 THEN event_type || ',x' ELSE '' END AS tags FROM events",
     "feedback_records": "SELECT event_id AS chunk_id, CAST(user_id % 5 - 2 AS INT) AS rating, event_id % 1000 + 1 AS latency_ms, sha256(props) AS query_sha256 FROM events WHERE user_id % 5 BETWEEN 1 AND 3",
+    "weight_units": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) / 1000 ELSE CAST(p_size AS DOUBLE) END AS kg FROM part",
+    "openers": "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'An overview of ' || p_name || ':' WHEN 2 THEN 'On ' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || ' of ' || p_name || ':' WHEN 3 THEN 'When to refer for ' || p_name || ':' ELSE '' END AS opener FROM part",
+    "topic_shift": """WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 THEN lower(substr(text, 1, 1)) END AS topic, CASE WHEN length(text) % 2 = 0 THEN turn END AS slot FROM conversations),
+s AS (SELECT *, coalesce(topic <> last_value(topic IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS shifted FROM t),
+p AS (SELECT *, sum(CAST(shifted AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM s)
+SELECT conv_id, turn, shifted, last_value(slot IGNORE NULLS) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM p""",
+    "repeat_deflection": """WITH t AS (SELECT conv_id, turn, lower(substr(text, 1, 1)) AS answer, length(text) % 2 AS chunk FROM conversations)
+SELECT conv_id, turn, CASE WHEN coalesce(chunk = lag(chunk) OVER w AND answer = lag(answer) OVER w, false) THEN 'As said before.' ELSE answer END AS answer FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "cleared_events": "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
 }
