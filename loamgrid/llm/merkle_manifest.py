@@ -114,9 +114,9 @@ def _steps(nodes: DataFrame, *more: str) -> tuple[list[DataFrame], DataFrame]:
     return steps, nodes.select("grp", "node")
 
 
-def _down(steps: list[DataFrame], above: DataFrame) -> DataFrame:
-    """The lowest step's blocks with what stands above them: (tag, above) as given for each group, above led on to the block."""
-    top = steps[-1].join(above, "grp")
+def _down(steps: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
+    """The lowest step's blocks with what stands above them: (tag, above) as given for each group (nothing by default), above led on to the block."""
+    top = steps[-1].join(above, "grp") if above else steps[-1].withColumns({"tag": F.lit(""), "above": F.array().cast(SEGMENTS)})
     for below in reversed(steps[:-1]):
         paths = written(_unfolded(top, lambda x, s: F.struct(x["idx"].alias("block"), s.alias("above"))), "paths")
         top = below.join(paths, ["grp", "block"])
@@ -146,8 +146,7 @@ def merkle_manifest(
     tops = subroots.select(F.lit("all").alias("grp"), F.col("grp").alias("own"), "node")
     high, roots = _steps(_placed(written(tops, "subroots"), "grp", ["own"], rows_per_part), "own")
     root = F.lit(next((r["node"] for r in roots.collect()), None)).cast("string")  # one row, or none of an empty table
-    begin = docs.sparkSession.range(1).select(F.lit("all").alias("grp"), F.lit("").alias("tag"), F.array().cast(SEGMENTS).alias("above"))
-    groups = _unfolded(_down(high, begin), lambda x, s: F.struct(x["own"].alias("own"), x["node"].alias("node"), s.alias("above")))
+    groups = _unfolded(_down(high), lambda x, s: F.struct(x["own"].alias("own"), x["node"].alias("node"), s.alias("above")))
     blocks = _down(steps, written(groups.select(F.col("own").alias("grp"), F.col("node").alias("tag"), "above"), "groups"))
 
     def proven(x: Column, s: Column) -> Column:
