@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamgrid.llm import bpe_codec, decontaminate, fill_in_middle, language_id, license_scan, merkle_manifest, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from loamgrid.llm import bpe_codec, decontaminate, fill_in_middle, language_id, license_scan, merkle_manifest, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_language_id": language_id.op9_language_id,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_best_fit_packing": packing.op11_best_fit_packing,
         "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
