@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.plans import analytics, content, retrieval, understanding
+from loamgrid.plans import analytics, answers, content, retrieval, understanding
 
-_MODULES = [retrieval, understanding, analytics, content]
+_MODULES = [retrieval, understanding, analytics, content, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

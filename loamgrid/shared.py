@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -39,3 +40,21 @@ def removed(df: DataFrame) -> None:
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """df, marked for broadcasting if it has at most most_rows rows (counted here); otherwise Spark shuffles it as it sees fit."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], rows_per_part: int = 50_000) -> DataFrame:
+    """rows with idx (long, from 0), the place of a row in its group by order (nulls first), as a written table.
+
+    A range partition of the whole order gives each task neighbouring rows; groups are numbered inside a partition and
+    begin where the partitions before them end, so a group of any size is numbered by many tasks. Rows equal in group and
+    order are dealt by a number of their own. Columns named tie, part, begin or k give way; group is never null.
+    """
+    rows = written(rows.drop("tie", "part", "begin", "k", "idx").withColumn("tie", F.monotonically_increasing_id()), "rows")
+    parts = max(8, min(20_000, math.ceil(rows.count() / rows_per_part)))
+    dealt = written(rows.repartitionByRange(parts, group, *order, "tie").withColumn("part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy(group, "part").agg(F.count(F.lit(1)).alias("k")).selectExpr(group, "part", f"sum(k) over (partition by {group} order by part) - k as begin")
+    inside = dealt.selectExpr("*", f"row_number() over (partition by {group}, part order by {', '.join([*order, 'tie'])}) - 1 as k")
+    placed = written(inside.join(sizes, [group, "part"]).withColumn("idx", F.col("begin") + F.col("k")).drop("tie", "part", "begin", "k"), "numbered")
+    removed(rows)
+    removed(dealt)
+    return placed
