@@ -220,7 +220,7 @@ def bundle_scan(spark, sf_dir):
 
     @F.pandas_udf("binary")
     def zipped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: B.zipped([("chunks.jsonl", t.encode("utf-8", "surrogatepass"))]))
+        return texts.map(lambda t: B.zipped([("content/chunks.jsonl", t.encode("utf-8", "surrogatepass"))]))
 
     found = B.chunks(B.unzipped(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), zipped(lines).alias("content"))))
     return found.select(F.col("id").cast("long").alias("doc_id"), F.length(F.get_json_object("content", "$.en.answer")).cast("long").alias("n_chars"), F.get("aspects", 0).alias("aspect"))

@@ -57,7 +57,7 @@ def checked_version(version: Column) -> Column:
     return F.when(short.isin(*VERSIONS), short).otherwise(F.raise_error(F.concat(F.lit("unsupported bundle version "), F.coalesce(version, F.lit("none")))))
 
 
-def chunks(files: DataFrame, path: str = "chunks.jsonl") -> DataFrame:
+def chunks(files: DataFrame, path: str = "content/chunks.jsonl") -> DataFrame:
     """The chunks of all bundles with their content as JSON text; lines that aren't JSON, or lack an id, a type or content, are left out."""
     lines = _text(files, path).select("bundle", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     parsed = lines.select("bundle", "ord", F.from_json("line", CHUNK).alias("c"), F.get_json_object("line", "$.content").alias("content"))
@@ -65,7 +65,7 @@ def chunks(files: DataFrame, path: str = "chunks.jsonl") -> DataFrame:
     return parsed.filter(full).select("bundle", "ord", "c.*", "content")
 
 
-def vectors(files: DataFrame, path: str = "index/embeddings.bin", ids: str = "index/embedding_index.json") -> DataFrame:
+def vectors(files: DataFrame, path: str = "index/embeddings.bin", ids: str = "index/embeddings_index.json") -> DataFrame:
     """(bundle, ord, chunk_id, embedding): little-endian counts of rows and columns, then float32 values; a file too short gives none.
 
     The id index is an object by place or a plain list; a place without an id has its number for one.
@@ -91,6 +91,23 @@ def vectors(files: DataFrame, path: str = "index/embeddings.bin", ids: str = "in
     return found.join(known, ["bundle", "ord"], "left").select("bundle", "ord", F.coalesce("chunk_id", F.col("ord").cast("string")).alias("chunk_id"), "embedding")
 
 
+def variant_records(files: DataFrame, path: str = "index/variant_embeddings_index.json") -> DataFrame:
+    """(bundle, ord, chunk_id, field_type, lang, text): what each variant vector stands for, by place; none where the index is missing or isn't a JSON list."""
+    shape = "array<struct<chunk_id:string,field_type:string,lang:string,text:string>>"
+    return _text(files, path).select("bundle", F.posexplode(F.from_json("text", shape)).alias("ord", "r")).select("bundle", F.col("ord").cast("long"), "r.*")
+
+
+def variants(files: DataFrame, path: str = "index/variant_embeddings.bin") -> DataFrame:
+    """(bundle, ord, chunk_id, field_type, lang, text, embedding): variant vectors with their records; a vector without a record has nulls."""
+    return vectors(files, path).drop("chunk_id").join(variant_records(files), ["bundle", "ord"], "left").select("bundle", "ord", "chunk_id", "field_type", "lang", "text", "embedding")
+
+
+def described(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Vectors (bundle, chunk_id, ...) with title and type of their chunks (bundle, id, ...); an unknown chunk has its id for a title and an empty type."""
+    meta = chunks.select("bundle", F.col("id").alias("chunk_id"), F.nullif("display_title", F.lit("")).alias("title"), "type")
+    return found.join(meta, ["bundle", "chunk_id"], "left").withColumns({"title": F.coalesce("title", "chunk_id"), "type": F.coalesce("type", F.lit(""))})
+
+
 def quantised(embedding: Column) -> Column:
     """Values from -1 to 1 as whole numbers from -127 to 127, halves upwards."""
     return F.transform(embedding, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x * 127 + 0.5))).cast("tinyint"))
@@ -104,14 +121,14 @@ def postings(files: DataFrame, path: str = "index/lexical.json") -> DataFrame:
     return terms.select("bundle", "lang", "term", F.posexplode("p").alias("ord", "x")).select("bundle", "lang", "term", "ord", "x.*")
 
 
-def edges(files: DataFrame, path: str = "graph/gap_graph.json") -> DataFrame:
+def edges(files: DataFrame, path: str = "index/gap_graph.json") -> DataFrame:
     """(bundle, src, ord, dst, edge_score, label)."""
     shape = "map<string,array<struct<to:string,score:double,label:string>>>"
     nodes = _text(files, path).select("bundle", F.explode(F.from_json("text", shape)).alias("src", "e"))
     return nodes.select("bundle", "src", F.posexplode("e").alias("ord", "x")).select("bundle", "src", "ord", F.col("x.to").alias("dst"), F.col("x.score").alias("edge_score"), "x.label")
 
 
-def coverage(files: DataFrame, path: str = "coverage_manifest.json") -> DataFrame:
+def coverage(files: DataFrame, path: str = "index/coverage_manifest.json") -> DataFrame:
     """(bundle, topic, ord, aspect); a file that wraps its topics in an object of that name is read alike."""
     shape = "map<string,struct<aspects_covered:array<string>>>"
     body = F.coalesce(F.get_json_object("text", "$.topics"), F.col("text"))
@@ -119,6 +136,12 @@ def coverage(files: DataFrame, path: str = "coverage_manifest.json") -> DataFram
     return topics.select("bundle", "topic", F.posexplode("a.aspects_covered").alias("ord", "aspect"))
 
 
+def documents(files: DataFrame, path: str = "content/sources.json") -> DataFrame:
+    """(bundle, ord, name, url, year) of the documents that a bundle was made from; none where the file is missing or isn't JSON."""
+    shape = "array<struct<name:string,url:string,year:int>>"
+    return _text(files, path).select("bundle", F.posexplode(F.from_json(F.get_json_object("text", "$.sources"), shape)).alias("ord", "s")).select("bundle", "ord", "s.*")
+
+
 def named_files(files: DataFrame, folder: str) -> DataFrame:
     """(bundle, id, text) of the JSON files in a folder, by file name."""
     pattern = f"^{folder}/([^/]+)\\.json$"

@@ -1,4 +1,4 @@
-"""Structured Streaming: conversation state, throttled reports and batch sync as they arrive."""
+"""Structured Streaming: conversation state, throttled reports and windowed counts as they arrive."""
 
 from __future__ import annotations
 
@@ -67,7 +67,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     """Events by tumbling window and type with a watermark for late ones: an extension, the rules know no event time."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
-
-def sync(events: DataFrame, send, checkpoint: str, every: str = "5 minutes"):
-    """Starts sending what arrives in batches; the checkpoint takes the place of a sent flag, so a failed batch is sent again."""
-    return events.writeStream.foreachBatch(lambda batch, number: send(batch, number)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
