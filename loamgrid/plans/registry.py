@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.plans import analytics, answers, bundles, content, retrieval, understanding
+from loamgrid.plans import analytics, answers, bundles, content, retrieval, search, understanding
 
-_MODULES = [retrieval, understanding, analytics, content, answers, bundles]
+_MODULES = [retrieval, understanding, analytics, content, answers, bundles, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
