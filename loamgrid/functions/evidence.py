@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loamgrid.functions.predicates import compiler_error
-from loamgrid.functions.rendering import in_language
+from loamgrid.functions.rendering import in_language, let
 
 # The fields of an intent, in order, and those of any other intent.
 FIELDS = {
@@ -62,24 +62,23 @@ def evidence(content: Column, intent: Column, title: Column, aspects: Column, do
     as lines; the aspects' fields that these leave out; the source. What is empty, no text, or says that it failed is
     left out. Without English content the text is empty.
     """
-    body = in_language(content, "en")
-    held = F.from_json(body, "map<string, string>")
     wanted = fields_of(intent)
-    # A text field is a JSON string, so it differs from a list or an object by its first sign in the body.
-    is_list = F.startswith(F.ltrim(F.coalesce(F.try_element_at(held, F.lit("dosage_rules")), F.lit(""))), F.lit("["))
-    rules = F.when(is_list, F.from_json(F.try_element_at(held, F.lit("dosage_rules")), RULES))
-
-    def said(field: Column) -> Column:
-        text = F.try_element_at(held, field)
-        structured = F.startswith(text, F.lit("[")) | F.startswith(text, F.lit("{"))
-        plain = F.concat(titled(field), F.lit(":\n"), told(F.when(~structured, text)))
-        return F.when((field == "dosage_rules") & rules.isNotNull(), F.concat(F.lit("Dosage:\n"), dosing(rules))).otherwise(plain)
-
-    more = F.array_except(F.coalesce(aspects, F.array().cast("array<string>")), wanted)
-    more = F.filter(more, lambda a: a != "dosage_rules")
+    more = F.filter(F.array_except(F.coalesce(aspects, F.array().cast("array<string>")), wanted), lambda a: a != "dosage_rules")
     label = lambda name, x: F.concat(F.lit(name), F.nullif(x, F.lit("")))
-    parts = F.concat(F.array(label("Topic: ", title)), F.transform(wanted, said), F.transform(more, said), F.array(label("Source: ", document)))
-    return F.when(body.isNull(), "").otherwise(F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n"))
+
+    def said(held: Column, field: Column) -> Column:
+        def one(value: Column) -> Column:
+            structured = F.startswith(value, F.lit("[")) | F.startswith(value, F.lit("{"))
+            rules = F.when((field == "dosage_rules") & F.startswith(value, F.lit("[")), F.concat(F.lit("Dosage:\n"), let(F.from_json(value, RULES), dosing)))
+            return F.when(structured, rules).otherwise(F.concat(titled(field), F.lit(":\n"), told(value)))
+
+        return let(F.try_element_at(held, field), one)
+
+    def whole(held: Column) -> Column:
+        parts = F.concat(F.array(label("Topic: ", title)), F.transform(F.concat(wanted, more), lambda f: said(held, f)), F.array(label("Source: ", document)))
+        return F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n\n")
+
+    return let(in_language(content, "en"), lambda body: F.when(body.isNull(), "").otherwise(let(F.from_json(body, "map<string, string>"), whole)))
 
 
 def generation(content: Column, answer: Column, weight: Column) -> Column:
@@ -88,14 +87,16 @@ def generation(content: Column, answer: Column, weight: Column) -> Column:
     Not without English content, with dosing rules and a known weight, with an answer of over LEAST characters that
     isn't a mere list (over three bullets and under two sentence ends), or with a field that answers on its own.
     """
-    body = in_language(content, "en")
-    held = F.from_json(body, "map<string, string>")
-    field = lambda name: F.try_element_at(held, F.lit(name))
     whole = (F.length(answer) > LEAST) & ~compiler_error(answer)
     bullets, ends = F.regexp_count(answer, F.lit("(?m)^[•\\-*]\\s")), F.regexp_count(answer, F.lit("[.!?]\\s"))
     outcome = lambda yes, why: F.struct(F.lit(yes).alias("generate"), F.lit(why).alias("reason"))
-    out = F.when(body.isNull(), outcome(False, "no content")).when((F.length(field("dosage_rules")) > 0) & weight.isNotNull(), outcome(False, "dose is computed"))
-    out = out.when(whole & (bullets > 3) & (ends < 2), outcome(True, "list")).when(whole, outcome(False, "answer"))
-    for name in COMPLETE:
-        out = out.when((F.length(field(name)) > LEAST) & ~compiler_error(field(name)), outcome(False, name))
-    return out.otherwise(outcome(True, "no answer"))
+
+    def judged(held: Column) -> Column:
+        field = lambda name: F.try_element_at(held, F.lit(name))
+        out = F.when(held.isNull(), outcome(False, "no content")).when((F.length(field("dosage_rules")) > 0) & weight.isNotNull(), outcome(False, "dose is computed"))
+        out = out.when(whole & (bullets > 3) & (ends < 2), outcome(True, "list")).when(whole, outcome(False, "answer"))
+        for name in COMPLETE:
+            out = out.when((F.length(field(name)) > LEAST) & ~compiler_error(field(name)), outcome(False, name))
+        return out.otherwise(outcome(True, "no answer"))
+
+    return let(F.from_json(in_language(content, "en"), "map<string, string>"), judged)

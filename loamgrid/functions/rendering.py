@@ -26,6 +26,11 @@ NOTES, CALCULATE, ENTER = "💡 ", "📐 ", "Enter the required value:"
 RESULT = ("Result will show in ", ".")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _lines(*parts: Column) -> Column:
     """Lines of all parts in order; a part is an array of lines, or null for none."""
     return F.array_join(F.filter(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]), lambda x: x.isNotNull()), "\n")
@@ -101,9 +106,9 @@ RENDERERS: dict[str, tuple[str, Callable[[Column], Column]]] = {
 
 def in_language(content: Column, language: Column | str, fallback: str = "en") -> Column:
     """One language's body, as JSON, of a JSON object keyed by language; the fallback's where that is missing or null."""
-    bodies = F.from_json(content, "map<string, string>")
-    body = lambda key: F.nullif(F.try_element_at(bodies, key), F.lit("null"))
-    return F.coalesce(body(F.lit(language) if isinstance(language, str) else language), body(F.lit(fallback)))
+    key = F.lit(language) if isinstance(language, str) else language
+    body = lambda bodies, key: F.nullif(F.try_element_at(bodies, key), F.lit("null"))
+    return let(F.from_json(content, "map<string, string>"), lambda bodies: F.coalesce(body(bodies, key), body(bodies, F.lit(fallback))))
 
 
 def rendered(kind: Column, content: Column, language: Column | str = "en") -> Column:
@@ -111,11 +116,14 @@ def rendered(kind: Column, content: Column, language: Column | str = "en") -> Co
 
     Content that isn't JSON, or has neither the language nor English, is told to be missing.
     """
-    body = in_language(content, language)
-    said = F.when(body.isNull(), NO_CONTENT)
-    for name, (schema, renderer) in RENDERERS.items():
-        said = said.when(kind == name, renderer(F.from_json(body, schema)))
-    return said.otherwise(body)
+
+    def said(body: Column) -> Column:
+        out = F.when(body.isNull(), NO_CONTENT)
+        for name, (schema, renderer) in RENDERERS.items():
+            out = out.when(kind == name, let(F.from_json(body, schema), renderer))
+        return out.otherwise(body)
+
+    return let(in_language(content, language), said)
 
 
 def tree_outline(body: Column) -> Column:
@@ -124,7 +132,10 @@ def tree_outline(body: Column) -> Column:
     A fold along the tree with a stack: as many steps as the tree has options and its entry. A node that has been told
     before, and one that does not exist, is named by its label alone, so trees that share nodes or run in circles end.
     """
-    c = F.from_json(body, DECISION_TREE)
+    return let(F.from_json(body, DECISION_TREE), _outlined)
+
+
+def _outlined(c: Column) -> Column:
     frame = "array<struct<node string, label string, depth int>>"
     n_options = F.aggregate(F.map_values(c["nodes"]), F.lit(0), lambda a, x: a + F.greatest(F.size(F.coalesce(x["options"], F.array().cast("array<struct<label string, next string>>"))), F.lit(0)))
     begin = F.struct(
