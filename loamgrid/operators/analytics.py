@@ -147,6 +147,34 @@ def bundle_report(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(F.broadcast(e)).withColumn("mean_edges", F.round(F.when(F.col("chunks") > 0, F.col("edges") / F.col("chunks")), 6))
 
 
+# Aspects of which a follow-up can be made, and rich chunks that a report names.
+USABLE = ["dosage", "referral", "danger_signs", "procedure", "side_effects", "contraindications", "coverage", "prognosis", "when_to_refer"]
+NAMED = 10
+
+
+def quality_sections(chunks: DataFrame, edges: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(section, item, n): everything that a bundle's report tells. chunks: (chunk_id, title, aspects); edges: (src, dst); coverage: (topic, aspect).
+
+    Sections: `chunks` (all, zero aspects, only definition, three or more, usable gaps, named), `aspects` (chunks by
+    aspect, repeated ones as often as they stand there), `edges` (all, chunks with edges), `topics` (aspects by topic) and
+    `rich`, the first chunks by id with three or more aspects, with their titles (or ids) and aspects as item and their
+    place as n. Each chunk gives its marks in one pass over the table; all marks are counted in one grouping.
+    """
+    aspects = F.coalesce("aspects", F.array().cast("array<string>"))
+    n = F.size(aspects)
+    mark = lambda section, item: F.struct(F.lit(section).alias("section"), item.alias("item"))
+    if_ = lambda says, item: F.when(says, mark("chunks", F.lit(item)))
+    own = F.array(if_(F.lit(True), "all"), if_(n == 0, "zero aspects"), if_((n == 1) & (aspects[0] == "definition"), "only definition"), if_(n >= 3, "three or more"), if_(F.arrays_overlap(aspects, F.array(*map(F.lit, USABLE))), "usable gaps"))
+    marks = chunks.select(F.inline(F.concat(F.array_compact(own), F.transform(aspects, lambda a: mark("aspects", a)))))
+    linked = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("with"))
+    linked = linked.select(F.inline(F.array(F.struct(F.lit("edges").alias("section"), F.lit("all").alias("item"), F.col("all").alias("n")), F.struct(F.lit("edges").alias("section"), F.lit("chunks with edges").alias("item"), F.col("with").alias("n")))))
+    topics = coverage.groupBy(F.lit("topics").alias("section"), F.col("topic").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    rich = chunks.filter(n >= 3).orderBy("chunk_id").limit(NAMED)
+    line = F.concat(F.coalesce(F.nullif("title", F.lit("")), F.col("chunk_id").cast("string")), F.lit(": ["), F.array_join("aspects", ", "), F.lit("]"))
+    named = rich.select(F.lit("rich").alias("section"), line.alias("item"), F.row_number().over(Window.orderBy("chunk_id")).cast("long").alias("n"))
+    return marks.groupBy("section", "item").agg(F.count(F.lit(1)).alias("n")).unionByName(linked).unionByName(topics).unionByName(named)
+
+
 def duration_text(seconds: Column) -> Column:
     return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import tokens as T
 from loamgrid.operators import decide as D
+from loamgrid.operators import prefixes as X
 from loamgrid.operators import retrieval as R
 
 CLASSES = [("ion", "tion"), ("ion", "sion"), ("ment", "ment"), ("ung", "ung"), ("license", "licen.*apache"), ("ble", "ble")]
@@ -131,7 +132,7 @@ def variant_search(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     index = R.variant_index(part.groupBy("p_name").agg(F.min("p_partkey").alias("chunk_id")).select("chunk_id", F.col("p_name").alias("question"), (F.col("chunk_id") % 2 == 0).alias("primary")))
     asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    return R.variant_search(asked, index)
+    return X.variant_search(asked, index)
 
 
 def fuzzy_faq(spark, sf_dir):

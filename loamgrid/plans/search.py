@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from loamgrid.functions import evidence as E
 from loamgrid.functions import rules as L
 from loamgrid.functions import variation as G
+from loamgrid.operators import analytics as A
 from loamgrid.operators import generate as N
+from loamgrid.operators import prefixes as X
 from loamgrid.operators import respond as S
+from loamgrid.operators import retrieval as R
 from loamgrid.plans import retrieval as PR
 from loamgrid.plans.retrieval import table
+from loamgrid.sources import integrity as I
 
 SLOTS = {"hello": ["Hello", "Abeg", "Good day"], "please": ["please", "pls", "biko"]}
 TYPOS = {"the": ["teh", "thee"], "der": ["dre"], "les": ["lse", "ls"], "que": ["qe"]}
@@ -54,7 +58,44 @@ def respond_record(spark, sf_dir):
     return out.select("query_id", "chunk_id", "score", "route", "diagnostics.*")
 
 
-QUERIES = {f.__name__: f for f in (text_variations, evidence_text, respond_record)}
+def prefix_search(spark, sf_dir):
+    """The first ten documents that hold the first word of a passage and a word that begins with the first two letters of its third one."""
+    words = F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words[0], F.lit(" "), F.substring(words[2], 1, 2)).alias("query"))
+    return X.prefix_search(asked, PR.chunks(spark, sf_dir))
+
+
+def variant_union(spark, sf_dir):
+    """Turns as questions of two sources that overlap, indexed as one: each key's weight by chunk, added up over chunks."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chunk_id"), "turn", "text")
+    lines = t.filter("turn % 2 = 0").select("chunk_id", F.col("text").alias("primary_question"), F.split("text", "\n").alias("question_variants"))
+    rows = t.filter("turn % 3 = 0").select("chunk_id", F.col("text").alias("primary_question"), F.lit(None).cast("array<string>").alias("question_variants"))
+    return R.variant_index(R.variant_sources(lines, rows)).groupBy("key").agg(F.count(F.lit(1)).alias("chunks"), F.sum("weight").alias("weight"))
+
+
+def quality_sections(spark, sf_dir):
+    """Documents as chunks with aspects by their whole texts, conversations as links, sources and languages as coverage."""
+    has = lambda name, pattern: F.when(F.col("text").rlike(pattern), F.lit(name))
+    aspects = F.array_compact(F.array(has("dosage", "[0-9]{3}"), has("definition", "[Ll]icen[sc]e|the "), has("referral", "\\|"), has("other", "[#*]"), has("coverage", "token =")))
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(" "), F.col("doc_id"))).alias("title"), aspects.alias("aspects"))
+    edges = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("src"), F.col("turn").alias("dst"))
+    return A.quality_sections(chunks, edges, docs.select(F.col("source").alias("topic"), F.col("lang").alias("aspect")).distinct())
+
+
+def bundle_integrity(spark, sf_dir):
+    """Documents as bundles in blocks of 500 bytes: every 7th block was damaged on its way, every 11th did not come; their states after the first try, and what there is after the rest was fetched."""
+    own = I.blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")), 500)
+    listed = I.manifest(own)
+    place = F.col("bundle").cast("long") + F.col("block")
+    came = own.filter(place % 11 != 0).withColumn("bytes", F.when(place % 7 == 0, F.concat(F.col("bytes"), F.lit(b"x"))).otherwise(F.col("bytes")))
+    first = I.checked(came, listed)
+    states = first.groupBy("bundle").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("whole", "damaged", "missing")])
+    whole = I.resumed(came, own.join(I.wanted(came, listed), ["bundle", "block"], "left_semi"), listed)
+    return states.join(I.root(I.manifest(whole)), "bundle")
+
+
+QUERIES = {f.__name__: f for f in (text_variations, evidence_text, respond_record, prefix_search, variant_union, quality_sections, bundle_integrity)}
 
 
 def _list(items) -> str:
@@ -127,4 +168,29 @@ r AS (SELECT c.*, CASE WHEN NOT ok THEN 'none' WHEN fresh > 0 THEN 'fresh' WHEN
 x AS (SELECT r.*, CASE route WHEN 'graph' THEN hop WHEN 'none' THEN NULL ELSE fl.chunk_id END AS chunk_id, CASE route WHEN 'graph' THEN hop_score WHEN 'none' THEN NULL ELSE round(fl.score + CAST(0.25 AS DOUBLE) * boost, 6) END AS score FROM r LEFT JOIN fl ON fl.query_id = r.query_id AND fl.k = CASE WHEN fresh > 0 THEN fresh ELSE 1 END)
 SELECT query_id, chunk_id, score, route, top_bm25, top_vector, score AS fused, round(m, 6) AS margin, use AS vector_gate_passed, NOT ok AS confidence_gate_fired FROM x"""
 
-ORACLES = {"text_variations": _variations(), "evidence_text": _evidence(), "respond_record": _RESPOND}
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_PREFIX = f"""WITH q AS (SELECT item_id AS query_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS w FROM benchmark), a AS (SELECT query_id, w[1] AS one, substr(w[3], 1, 2) AS two FROM q),
+p AS (SELECT DISTINCT doc_id AS chunk_id, unnest({_WORDS}) AS word FROM documents),
+h AS (SELECT DISTINCT query_id, x.chunk_id FROM a JOIN p x ON x.word = one JOIN p y ON y.chunk_id = x.chunk_id AND starts_with(y.word, two))
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS INT) AS rank FROM h QUALIFY rank <= 10"""
+_UNION = """WITH v AS (SELECT conv_id, text AS q, 5 AS w FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, text, 5 FROM conversations WHERE turn % 3 = 0 UNION ALL SELECT conv_id, unnest(string_split(text, chr(10))), 2 FROM conversations WHERE turn % 2 = 0),
+k AS (SELECT unnest(list_filter(string_split_regex(lower(trim(q)), '\\s+'), lambda t: length(t) >= 2)) AS key, conv_id, w FROM v WHERE trim(q) <> '' UNION ALL SELECT substr(lower(trim(q)), 1, 50), conv_id, 2 * w FROM v WHERE trim(q) <> '')
+SELECT key, count(DISTINCT conv_id) AS chunks, CAST(sum(w) AS BIGINT) AS weight FROM k GROUP BY key"""
+_SECTIONS = f"""WITH c AS (SELECT doc_id, source, lang, list_filter([CASE WHEN regexp_matches(text, '[0-9]{{3}}') THEN 'dosage' END, CASE WHEN regexp_matches(text, '[Ll]icen[sc]e|the ') THEN 'definition' END, CASE WHEN contains(text, '|') THEN 'referral' END, CASE WHEN regexp_matches(text, '[#*]') THEN 'other' END, CASE WHEN contains(text, 'token =') THEN 'coverage' END], lambda x: x IS NOT NULL) AS a FROM documents),
+m AS (SELECT 'chunks' AS section, unnest(list_filter(['all', CASE WHEN len(a) = 0 THEN 'zero aspects' END, CASE WHEN a = ['definition'] THEN 'only definition' END, CASE WHEN len(a) >= 3 THEN 'three or more' END, CASE WHEN list_has_any(a, {_list(A.USABLE)}) THEN 'usable gaps' END], lambda x: x IS NOT NULL)) AS item FROM c UNION ALL SELECT 'aspects', unnest(a) FROM c)
+SELECT section, item, count(*) AS n FROM m GROUP BY ALL
+UNION ALL SELECT 'edges', 'all', count(*) FROM conversations UNION ALL SELECT 'edges', 'chunks with edges', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'topics', source, count(DISTINCT lang) FROM documents GROUP BY source
+UNION ALL SELECT 'rich', CASE WHEN doc_id % 2 = 0 THEN source || ' ' || doc_id ELSE CAST(doc_id AS VARCHAR) END || ': [' || array_to_string(a, ', ') || ']', row_number() OVER (ORDER BY doc_id) FROM c WHERE len(a) >= 3 QUALIFY row_number() OVER (ORDER BY doc_id) <= {A.NAMED}"""
+_INTEGRITY = """WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, unnest(range(greatest(CAST(ceil(length(h) / 1000) AS BIGINT), 1))) AS block, h FROM h),
+s AS (SELECT doc_id, block, sha256(unhex(substr(h, block * 1000 + 1, 1000))) AS d, CASE WHEN (doc_id + block) % 11 = 0 THEN 'missing' WHEN (doc_id + block) % 7 = 0 THEN 'damaged' ELSE 'whole' END AS state FROM b)
+SELECT CAST(doc_id AS VARCHAR) AS bundle, count(*) FILTER (state = 'whole') AS whole, count(*) FILTER (state = 'damaged') AS damaged, count(*) FILTER (state = 'missing') AS missing, sha256(string_agg(d, '' ORDER BY block)) AS version FROM s GROUP BY doc_id"""
+
+ORACLES = {
+    "text_variations": _variations(),
+    "evidence_text": _evidence(),
+    "respond_record": _RESPOND,
+    "prefix_search": _PREFIX,
+    "variant_union": _UNION,
+    "quality_sections": _SECTIONS,
+    "bundle_integrity": _INTEGRITY,
+}
