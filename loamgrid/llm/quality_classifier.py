@@ -1,8 +1,9 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, calibrated by temperature.
 
-Every token bucket has a fixed sparse random index vector. A bucket's word vector is the sum of the index vectors that
-stand around it in the training texts, shifted by their place, so that order counts. A document is the mean and spread
-of the vectors of its tokens and their coherence: how alike tokens are that stand a few places apart.
+Every token bucket has a fixed sparse random index vector. A bucket's word vector is its own index vector and the sum of
+those that stand around it in the training texts, shifted by their place, so that order counts, less what stands around
+any token. A document is pooled from the vectors of its tokens alone: their mean, spread, greatest and least values, and
+the least spread of any window of WINDOW tokens.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from loamgrid.llm.common import text_of, without, written
 from loamgrid.llm.shingles import run_hashes
 
-BUCKETS, WIDTH, HIDDEN, AROUND = 1 << 14, 48, 24, 2
-#: Distances at which the coherence of a document is taken.
-LAGS = (1, 2, 3, 4, 6)
-FEATURES = 2 * WIDTH + len(LAGS)
+BUCKETS, WIDTH, HIDDEN, AROUND = 1 << 14, 96, 24, 3
+#: Tokens of a window; a last window of less than half of them belongs to the one before.
+WINDOW = 16
+#: Mean, spread, greatest, least, and least spread of a window.
+FEATURES = 5 * WIDTH
 #: Byte classes: white space 0, small and non-ASCII letters 1, capitals 2, digits 3, other signs 4.
 CLASS = np.array([1 if b >= 128 or chr(b).islower() else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 0 if b <= 32 else 4 for b in range(256)], np.int8)
 
@@ -59,8 +61,8 @@ def index_vectors() -> np.ndarray:
 
 
 def context_sums(texts: list[str]) -> np.ndarray:
-    """For every bucket the sum of the index vectors around it, each shifted by its distance."""
-    index, sums = index_vectors(), np.zeros((BUCKETS, WIDTH))
+    """For every bucket the sum of the index vectors around it, each shifted by its distance, and how often it stands there."""
+    index, sums = index_vectors(), np.zeros((BUCKETS, WIDTH + 1))
     for group in _groups(texts):
         t, owner = tokens(group)
         near = np.zeros((len(t), WIDTH), np.float32)
@@ -70,31 +72,42 @@ def context_sums(texts: list[str]) -> np.ndarray:
             near[:-d] += np.roll(index, -d, axis=1)[t[d:]] * same
         for k in range(WIDTH):
             sums[:, k] += np.bincount(t, near[:, k], BUCKETS)
+        sums[:, WIDTH] += np.bincount(t, minlength=BUCKETS)
     return sums
 
 
-def unit(sums: np.ndarray) -> np.ndarray:
-    """Word vectors of length 1; zero for a bucket that the texts don't have."""
-    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Word vectors of length 1 from context sums: less the mean context of a token, and with the bucket's own index vector, which is all that an unseen one has."""
+    seen = sums[:, WIDTH:]
+    own = sums[:, :WIDTH] - seen * (sums[:, :WIDTH].sum(axis=0) / max(1, seen.sum())) + index_vectors()
+    norm = np.linalg.norm(own, axis=1, keepdims=True)
+    return (own / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+
+def _spread(sums: np.ndarray, squares: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(squares / n - np.square(sums / n), 0))
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the word vectors of each text, and the mean product of those that stand LAGS places apart; zeros for a text without tokens."""
+    """FEATURES numbers of each text from the word vectors of its tokens; zeros for a text without tokens."""
     out = []
     for group in _groups(texts):
         t, owner = tokens(group)
-        n = np.bincount(owner, minlength=len(group))
         row = np.zeros((len(group), FEATURES), np.float32)
-        has = np.flatnonzero(n)
-        if len(has):
-            begins = np.concatenate([[0], np.cumsum(n)[:-1]])[has]
+        if len(t):
             x = vectors[t]
-            row[has, :WIDTH] = np.add.reduceat(x, begins, axis=0) / n[has, None]
-            for k, d in enumerate(LAGS):
-                alike = np.einsum("ij,ij->i", x[d:], x[:-d]) * (owner[d:] == owner[:-d])
-                row[has, 2 * WIDTH + k] = np.bincount(owner[d:], alike, len(group))[has] / n[has]
-            row[has, WIDTH : 2 * WIDTH] = np.add.reduceat(np.square(x, out=x), begins, axis=0) / n[has, None]
+            begins = np.flatnonzero(np.diff(owner, prepend=-1))
+            has, n = owner[begins], np.diff(np.append(begins, len(t)))
+            place = np.arange(len(t)) - np.repeat(begins, n)
+            cuts = np.flatnonzero(place % WINDOW == 0)
+            whole = (np.diff(np.append(cuts, len(t))) >= WINDOW // 2) | (place[cuts] == 0)
+            cuts = cuts[whole]
+            size = np.diff(np.append(cuts, len(t)))[:, None]
+            first = np.flatnonzero(np.diff(owner[cuts], prepend=-1))  # each text's first window
+            sums, most, least = np.add.reduceat(x, cuts, axis=0), np.maximum.reduceat(x, begins, axis=0), np.minimum.reduceat(x, begins, axis=0)
+            squares = np.add.reduceat(np.square(x, out=x), cuts, axis=0)
+            all_sums, all_squares, n = np.add.reduceat(sums, first, axis=0), np.add.reduceat(squares, first, axis=0), n[:, None]
+            row[has] = np.hstack([all_sums / n, _spread(all_sums, all_squares, n), most, least, np.minimum.reduceat(_spread(sums, squares, size), first, axis=0)])
         out.append(row)
     return np.concatenate(out) if out else np.zeros((0, FEATURES), np.float32)
 
@@ -104,7 +117,7 @@ def _forward(m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, h @ m["w2"] + m["b2"]
 
 
-def train(vectors: np.ndarray, x: np.ndarray, labels: np.ndarray, epochs: int = 400, rate: float = 0.01, decay: float = 1e-3) -> dict:
+def train(vectors: np.ndarray, x: np.ndarray, labels: np.ndarray, epochs: int = 400, rate: float = 0.01, decay: float = 1e-2) -> dict:
     """The model from pooled rows; one row in five is set aside to fit the temperature."""
     y = labels.astype(float)
     rng = np.random.default_rng(9)
@@ -146,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     sample = written(docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).join(chosen, "id").groupBy("id", "y").agg(F.min("body").alias("body")), "sample")
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((BUCKETS, WIDTH))
+        sums = np.zeros((BUCKETS, WIDTH + 1))
         for batch in batches:
             sums += context_sums(batch["body"].tolist())
         seen = np.flatnonzero(np.abs(sums).sum(axis=1))
@@ -154,13 +167,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
             yield pd.DataFrame({"bucket": seen, "sums": list(sums[seen])})
 
     parts = sample.select("body").mapInPandas(summed, "bucket long, sums array<double>")
-    found = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(WIDTH)]).alias("sums")).collect()  # BUCKETS rows at most
+    found = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(WIDTH + 1)]).alias("sums")).collect()  # BUCKETS rows at most
     if not found:
         return b""
-    sums = np.zeros((BUCKETS, WIDTH))
+    sums = np.zeros((BUCKETS, WIDTH + 1))
     for r in found:
         sums[r["bucket"]] = r["sums"]
-    held = docs.sparkSession.sparkContext.broadcast(unit(sums))
+    held = docs.sparkSession.sparkContext.broadcast(word_vectors(sums))
 
     @F.pandas_udf("array<float>")
     def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

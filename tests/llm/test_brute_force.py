@@ -5,6 +5,7 @@ import json
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -253,3 +254,31 @@ def test_held_out_accuracy(spark):
     got = quality_classifier.op8_quality_classifier(spark, "/root/testdata/sf0.01").toPandas().merge(labels, on="doc_id")
     held = got[got.held_out]
     assert (held.predicted == held.quality).mean() > 0.93
+
+
+def test_learnt_word_vectors_beat_random_ones():
+    table = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    held = table["doc_id"].map(lambda k: zlib.crc32(str(k).encode()) % 3 == 1).to_numpy()
+    texts, y = table["text"].fillna(""), table["quality"].to_numpy()
+    right = []
+    for sums in (quality_classifier.context_sums(texts[~held].tolist()), np.zeros((quality_classifier.BUCKETS, quality_classifier.WIDTH + 1))):
+        vectors = quality_classifier.word_vectors(sums)
+        model = quality_classifier.train(vectors, quality_classifier.pooled(texts[~held].tolist(), vectors), y[~held])
+        right.append(((quality_classifier.scores(texts[held].tolist(), model) >= 0.5) == y[held]).mean())
+    assert right[0] > 0.995 and 1 - right[0] < 0.5 * (1 - right[1])
+
+
+def test_pooling_against_plain_loops():
+    texts = ["", "one", "the same the same " * 30 + "end.", "A1 b2, c3! " * 9, "x y"]
+    vectors = quality_classifier.word_vectors(quality_classifier.context_sums(texts))
+    t, owner = quality_classifier.tokens(texts)
+    got = quality_classifier.pooled(texts, vectors)
+    for k in range(len(texts)):
+        x = vectors[t[owner == k]].astype(float)
+        if not len(x):
+            assert not got[k].any()
+            continue
+        cuts = [c for c in range(0, len(x), 16) if c == 0 or len(x) - c >= 8]
+        windows = [x[a:b] for a, b in zip(cuts, [*cuts[1:], len(x)], strict=True)]
+        want = np.hstack([x.mean(0), x.std(0), x.max(0), x.min(0), np.min([w.std(0) for w in windows], axis=0)])
+        assert np.abs(got[k] - want).max() < 1e-3

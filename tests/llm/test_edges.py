@@ -120,7 +120,7 @@ def test_long_words_are_told_apart():
     assert len(set(quality_classifier.tokens([" ".join(words)])[0].tolist())) == len(words)
     alone = [quality_classifier.tokens([w])[0].tolist() for w in words]
     assert [b for a in alone for b in a] == quality_classifier.tokens([" ".join(words)])[0].tolist()
-    vectors = quality_classifier.unit(quality_classifier.context_sums(["mountain river alphabet forest meadow"]))
+    vectors = quality_classifier.word_vectors(quality_classifier.context_sums(["mountain river alphabet forest meadow"]))
     a, b = quality_classifier.pooled(["mountain river", "alphabet meadow"], vectors)
     assert abs(a - b).max() > 0.01
 
