@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loamgrid.functions.predicates import compiler_error
-from loamgrid.functions.rendering import in_language, let
+from loamgrid.functions.rendering import in_language
+from loamgrid.functions.tokens import let
 
 # The fields of an intent, in order, and those of any other intent.
 FIELDS = {

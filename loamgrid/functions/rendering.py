@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loamgrid.functions.tokens import let
+
 # The content of the six chunk types.
 FAQ = "question string, answer string, details string"
 DRUG_TABLE = "drug_name string, rows array<struct<weight_range string, dose string, route string, frequency string, duration string>>, watch_for array<string>, refer_if array<string>"
@@ -26,11 +28,6 @@ NOTES, CALCULATE, ENTER = "💡 ", "📐 ", "Enter the required value:"
 RESULT = ("Result will show in ", ".")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once, however often use names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _lines(*parts: Column) -> Column:
     """Lines of all parts in order; a part is an array of lines, or null for none."""
     return F.array_join(F.filter(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]), lambda x: x.isNotNull()), "\n")

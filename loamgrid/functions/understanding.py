@@ -99,18 +99,20 @@ def slots(text: Column) -> Column:
 def expand_synonyms(text: Column, expansions: dict[str, str] = L.EXPANSIONS) -> Column:
     """The text and, after it, the expansions of its tokens that it lacks, each once, in order."""
     table = F.create_map(*[F.lit(x) for k, v in expansions.items() for x in (k, v)])
-    found = T.synonym_tokens(text)
-    added = F.flatten(F.transform(found, lambda t: F.coalesce(F.split(F.element_at(table, t), " "), F.array().cast("array<string>"))))
-    fresh = F.array_except(added, found)
-    return F.when(F.size(fresh) > 0, F.concat(text, F.lit(" "), F.array_join(fresh, " "))).otherwise(text)
+    added = lambda found: F.flatten(F.transform(found, lambda t: F.coalesce(F.split(F.element_at(table, t), " "), F.array().cast("array<string>"))))
+    said = lambda text, fresh: F.when(F.size(fresh) > 0, F.concat(text, F.lit(" "), F.array_join(fresh, " "))).otherwise(text)
+    return T.let(text, lambda x: T.let(T.synonym_tokens(x), lambda found: T.let(F.array_except(added(found), found), lambda fresh: said(x, fresh))))
 
 
 def dedupe_terms(text: Column) -> Column:
     """Every token once, by its word characters in lower case; those without any go."""
     bare = lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9_]", "")
-    tokens = F.split(text, "\\s+")
-    keep = F.filter(tokens, lambda t, i: (bare(t) != "") & ~F.exists(F.slice(tokens, F.lit(1), i), lambda u: bare(u) == bare(t)))
-    return F.array_join(keep, " ")
+
+    def firsts(tokens: Column, words: Column) -> Column:
+        once = F.array_distinct(F.filter(words, lambda w: w != ""))
+        return F.array_join(F.transform(once, lambda w: F.get(tokens, (F.array_position(words, w) - 1).cast("int"))), " ")
+
+    return T.let(F.split(text, "\\s+"), lambda tokens: T.let(F.transform(tokens, bare), lambda words: firsts(tokens, words)))
 
 
 def normalize(text: Column, phrases: list[tuple[str, str]], words: dict[str, str]) -> Column:

@@ -160,7 +160,7 @@ def gap_detect(spark, sf_dir):
 
 def fallback_topic(spark, sf_dir):
     q = _turns(spark, sf_dir).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    return R.fallback_topic(q, _topics(spark), ["the", "and"])
+    return R.fallback_topic(q, [topic for _, topic in sorted(TOPICS)], ["the", "and"])
 
 
 def answer_select(spark, sf_dir):

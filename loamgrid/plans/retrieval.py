@@ -54,7 +54,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_lists(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     v = vectors(spark, sf_dir)
     asked = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
-    return R.ranked(R.cosine_scores(asked, v), "query_id", k=k)
+    return R.cosine_lists(asked, v, k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -78,8 +78,8 @@ def cosine_topk(spark, sf_dir):
 def variant_max(spark, sf_dir):
     v = vectors(spark, sf_dir)
     asked = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
-    owners = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("variant_id"), F.col("label").cast("long").alias("chunk_id"))
-    return R.ranked(R.best_variant(R.cosine_scores(asked, v), owners), "query_id", k=10)
+    owned = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("long").alias("label"))
+    return R.cosine_lists(asked, owned, 10, owner="label")
 
 
 def proxy_jaccard(spark, sf_dir):
@@ -137,7 +137,7 @@ def variant_search(spark, sf_dir):
 
 def fuzzy_faq(spark, sf_dir):
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    return R.fuzzy_faq(asked, spark.createDataFrame(FAQS, "faq_id int, grp int, keyword string"))
+    return R.fuzzy_faq(asked, FAQS)
 
 
 def pattern_routing(spark, sf_dir):

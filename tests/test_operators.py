@@ -36,8 +36,17 @@ def test_gate_boundaries(spark):
 def test_cosine_in_blocks_of_queries(spark):
     rows = [(k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)]
     queries, chunks = spark.createDataFrame(rows, "query_id long, embedding array<double>"), spark.createDataFrame(rows[:9], "chunk_id long, embedding array<double>")
-    got = [sorted(tuple(r) for r in R.cosine_scores(queries, chunks, most_broadcast=m).collect()) for m in (40, 16)]
+    got = [sorted(tuple(r) for r in R.cosine_lists(queries, chunks, 100, most_queries=m).collect()) for m in (40, 16)]
     assert len(got[0]) == 360 and got[0] == got[1]
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5 + 1e-10), 6)
+    want = {q: sorted(((-cosine(a, b), c) for c, b in rows[:9]))[:4] for q, a in rows}
+    best = R.cosine_lists(queries, chunks.repartition(3), 4).collect()
+    assert {(r.query_id, r["rank"]): (-r.score, r.chunk_id) for r in best} == {(q, i + 1): x for q, xs in want.items() for i, x in enumerate(xs)}
+    owned = chunks.withColumn("owner", F.col("chunk_id") % 3).union(spark.createDataFrame([(99, [-1.0, -1.0, -1.0], 7), (98, None, 0), (97, [1.0], 0)], "chunk_id long, embedding array<double>, owner long"))
+    got = {(r.query_id, r.chunk_id): r.score for r in R.cosine_lists(queries, owned, 2, owner="owner").collect()}
+    for q, a in rows:
+        most = {o: max(cosine(a, b) for c, b in rows[:9] if c % 3 == o) for o in range(3)}
+        assert {o: got[q, o] for o in most if (q, o) in got} == {o: most[o] for o in sorted((o for o in most if most[o] > 0), key=lambda o: (-most[o], o))[:2]}
 
 
 def test_repeated_tokens_and_postings_count(spark):
