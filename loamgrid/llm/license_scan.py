@@ -3,7 +3,8 @@
 Every rolling run of k words of every document is joined by hash to its places in a list of templates: phrases and
 notices of any length, up to whole licence texts. Hits on one diagonal (place in the document less place in the
 template) stand for one occurrence; hits of neighbouring diagonals are merged, so that a few inserted or missing words
-do no harm.
+do no harm. A merged span drifts by a quarter of its template at most, and is verified: only hits whose words stand in
+both texts in the same order count.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import text_of
+from loamgrid.llm.common import text_of, written
 
 # The phrases whose exact places count, and the label of each.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -51,15 +52,21 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
     return pairs.withColumn("h", F.xxhash64("w1", "w2")).unionByName(anchor)
 
 
+def _rising(places: Column) -> Column:
+    """As many values as the longest rising sequence among places has: of each length so far the least last value."""
+    step = lambda ends, x: F.concat(F.filter(ends, lambda e: e < x), F.array(x), F.slice(F.filter(ends, lambda e: e >= x), 2, 1_000_000))
+    return F.aggregate(places, F.array().cast("array<int>"), step)
+
+
 def license_scan(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, least: float = 0.75, apart: int = 3
 ) -> DataFrame:
     """One row per row of docs: doc_id and the columns of OUTPUT.
 
     A phrase counts where all its words stand one after another (n_base places; first_word and last_word are their
-    smallest and largest starts). A notice is found where at least the share `least` of its word pairs is hit on
-    diagonals that are at most `apart` from the next; the words themselves are compared, not only hashes. labels
-    holds the labels of both, score the largest share found (0 if none). Null and empty texts give zeros, empty label
+    smallest and largest starts). A notice is found where at least the share `least` of its word pairs is hit, in the
+    notice's order, on diagonals that differ by a quarter of its length at most (by `apart` if that is more); the words
+    themselves are compared, not only hashes. labels holds the labels of both, score the largest share found (0 if none). Null and empty texts give zeros, empty label
     strings and null places; rows with equal or null ids stay apart; other columns of docs are not carried, whatever their names.
     """
     spark = docs.sparkSession
@@ -75,10 +82,20 @@ def license_scan(
     one = ["row", "doc_id", "n_words", "template", "label", "base", "length"]
     voted = hits.groupBy(*one, (F.col("at1") - 1 - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_list("at")).alias("hit"))
     voted = voted.filter((F.col("template") < 0) | (F.size("hit") >= F.when(F.col("base"), F.col("length") - 1).otherwise(2)))
-    gap = "case when base or diagonal - lag(diagonal) over (partition by row, template order by diagonal) > %d then 1 else 0 end" % apart
-    merged = voted.selectExpr("*", f"{gap} as gap").selectExpr("*", "sum(gap) over (partition by row, template order by diagonal) as run")
-    spans = merged.groupBy(*one, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.min("diagonal").cast("long").alias("start"))
-    spans = spans.withColumn("share", F.when(F.col("template") < 0, 0.0).otherwise(F.col("hit") / (F.col("length") - 1))).filter((F.col("template") < 0) | (F.col("share") >= least))
+    voted = written(voted, "voted")
+    exact = voted.filter((F.col("template") < 0) | F.col("base")).select(*one, F.col("diagonal").cast("long").alias("start"), F.when(F.col("base"), 1.0).otherwise(0.0).alias("share"))
+    slack = F.greatest(F.lit(apart), F.ceil(F.col("length") / 4)).cast("int")
+    loose = voted.filter((F.col("template") >= 0) & ~F.col("base")).withColumn("slack", slack).withColumn("scaled", F.col("diagonal") / F.col("slack"))
+    near = "sum(size(hit)) over (partition by row, template order by scaled range between current row and 1.000001D following) as votes"
+    begins = loose.selectExpr("*", near).filter(F.col("votes") >= least * (F.col("length") - 1)).withColumn("begin", F.col("diagonal"))
+    # Diagonals meet the beginnings that reach them by stretches of the slack.
+    stretch = F.floor(F.col("diagonal") / F.col("slack"))
+    begins = begins.select(*one, "begin", "slack", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    reached = begins.join(loose.select("row", "template", "diagonal", "hit", stretch.alias("stretch")), ["row", "template", "stretch"]).filter((F.col("diagonal") >= F.col("begin")) & (F.col("diagonal") <= F.col("begin") + F.col("slack")))
+    points = F.transform("hit", lambda at: F.struct((F.col("diagonal") + at).alias("place"), (-at).alias("back")))
+    merged = reached.groupBy(*one, "begin").agg(F.sort_array(F.flatten(F.collect_list(points))).alias("points"))
+    spans = merged.withColumn("share", F.size(_rising(F.transform("points", lambda p: -p["back"]))) / (F.col("length") - 1)).filter(F.col("share") >= least)
+    spans = exact.unionByName(spans.select(*one, F.col("begin").cast("long").alias("start"), "share"))
     labels = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     place = F.when(F.col("base"), F.col("start"))
     return spans.groupBy("row", "doc_id", "n_words").agg(
@@ -104,9 +121,12 @@ d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(l
 p AS (SELECT r, i, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
 h AS (SELECT r, k, label, base, n, i - tpos AS diag, tpos FROM p JOIN tp USING (w1, w2)),
 v AS (SELECT r, k, label, base, n, diag, list(DISTINCT tpos) AS hit FROM h GROUP BY ALL HAVING len(list(DISTINCT tpos)) >= CASE WHEN base THEN n - 1 ELSE 2 END),
-g AS (SELECT *, CASE WHEN base OR diag - lag(diag) OVER (PARTITION BY r, k ORDER BY diag) > 3 THEN 1 ELSE 0 END AS gap FROM v),
-m AS (SELECT *, sum(gap) OVER (PARTITION BY r, k ORDER BY diag) AS run FROM g),
-s AS (SELECT r, k, label, base, n, run, len(list_distinct(flatten(list(hit)))) / (n - 1) AS share, min(diag) AS start FROM m GROUP BY r, k, label, base, n, run),
+q AS (SELECT *, greatest(3, CAST(ceil(n / 4) AS INT)) AS slack FROM v WHERE NOT base),
+b AS (SELECT *, sum(len(hit)) OVER (PARTITION BY r, k ORDER BY diag / slack RANGE BETWEEN CURRENT ROW AND 1.000001 FOLLOWING) AS votes FROM q),
+u AS (SELECT b.r, b.k, b.label, b.n, b.diag AS start, q.diag, unnest(q.hit) AS tpos FROM b JOIN q ON b.r = q.r AND b.k = q.k AND q.diag BETWEEN b.diag AND b.diag + b.slack WHERE b.votes >= 0.75 * (b.n - 1)),
+z AS (SELECT r, k, label, n, start, list([tpos] ORDER BY diag + tpos, -tpos) AS pts FROM u GROUP BY r, k, label, n, start),
+y AS (SELECT r, label, start, len(list_reduce(pts, lambda e, x: list_concat(list_concat(list_filter(e, lambda i: i < x[1]), x), list_slice(list_filter(e, lambda i: i >= x[1]), 2, 100000)))) / (n - 1) AS share FROM z),
+s AS (SELECT r, label, true AS base, diag AS start, 1.0 AS share FROM v WHERE base UNION ALL SELECT r, label, false, start, share FROM y),
 f AS (SELECT r, CAST(count(*) FILTER (base) AS BIGINT) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
       FROM s WHERE share >= 0.75 GROUP BY r)

@@ -42,6 +42,12 @@ def test_license_scan(docs, spark):
     rows = [(1, less), (2, "this wor\u212a is licensed under the GNU General Public License version 3"), (3, " ".join(whole[:40]))]
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(whole) > 65 and "mit-text" in got[1].labels and 0.9 < got[1].score <= 1
+    mixed = [" ".join(" ".join(whole[i : i + 3]) for i in range(len(whole) - 2)), " ".join(" ".join(whole[i : i + 8]) for i in range(len(whole) - 8, -1, -8)), " ".join(whole[::-1])]
+    scattered = " so it is ".join(" ".join(whole[i : i + 2]) for i in range(0, len(whole), 2))
+    for r in license_scan.license_scan(spark.createDataFrame([(k, t) for k, t in enumerate([*mixed, scattered])], "doc_id long, text string")).collect():
+        assert (r.labels, r.score) == ("", 0.0), r
+    twice = license_scan.license_scan(spark.createDataFrame([(1, " ".join([*whole, *["x"] * 5000, *whole]))], "doc_id long, text string")).first()
+    assert twice.labels == "mit,mit-text" and twice.score == 1.0
     assert got[2].base_labels == "gpl" and got[2].n_words == 12 and "mit-text" not in got[3].labels
 
 
