@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import tokens as T
 from loamgrid.operators.retrieval import ranked
-from loamgrid.shared import numbered, written
+from loamgrid.shared import broadcast_if_small, numbered, written
 
 #: Sorts after every text that goes on from here.
 LAST = "\U0010ffff"
@@ -56,11 +56,12 @@ def prefix_search(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFra
     asked = queries.select("query_id", words(F.col("query")).alias("words")).filter(F.size("words") > 0).select("query_id", F.size(F.array_distinct("words")).alias("n"), F.posexplode("words").alias("at", "term"), F.size("words").alias("size"))
     asked = asked.withColumn("begins", F.col("at") == F.col("size") - 1).select("query_id", "term", "begins", "size").distinct()
     parts = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("parts"))
-    postings = written(chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")), "postings")
-    pairs = prefix_pairs(asked.filter("begins").select("term"), postings.select("word"))
-    longer = pairs.filter(F.startswith("word", F.col("term")))
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    longer = prefix_pairs(asked.filter("begins").select("term"), held.select("word")).filter(F.startswith("word", F.col("term")))
     met = asked.filter("begins").join(longer, "term").select("query_id", "term", "begins", "word").unionByName(asked.filter("not begins").select("query_id", "term", "begins", F.col("term").alias("word")))
-    hits = met.join(postings, "word").select("query_id", "chunk_id", "term", "begins").distinct().groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("met"))
+    # Only words that a query asks for leave their chunks; texts are read a second time rather than kept as postings.
+    met = broadcast_if_small(written(met, "met"), 300_000)
+    hits = held.join(met, "word").select("query_id", "chunk_id", "term", "begins").distinct().groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("met"))
     whole = hits.join(parts, "query_id").filter(F.col("met") == F.col("parts"))
     return ranked(whole.select("query_id", "chunk_id", F.lit(0.0).alias("score")), "query_id", k=k).select("query_id", "chunk_id", "rank")
 
