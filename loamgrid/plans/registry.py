@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamgrid.plans import analytics, answers, bundles, clinical, content, retrieval, search, understanding
+from loamgrid.plans import analytics, answers, bundles, clinical, content, flow, retrieval, search, understanding
 
-_MODULES = [retrieval, understanding, analytics, content, answers, bundles, search, clinical]
+_MODULES = [retrieval, understanding, analytics, content, answers, bundles, search, clinical, flow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
