@@ -13,7 +13,9 @@ from loamgrid.functions import predicates as P
 from loamgrid.functions import rules as L
 from loamgrid.functions import understanding as U
 from loamgrid.operators import retrieval as R
+from loamgrid.operators import sessions as PS
 from loamgrid.plans import retrieval as PR
+from loamgrid.plans import understanding as PU
 from loamgrid.plans.retrieval import table
 
 #: What turns are made to say of symptoms and wishes.
@@ -27,6 +29,9 @@ FILLERS = ["with", "from", "that"]
 PHRASES = [p for p, _ in C.LOCAL_PHRASES]
 KEYS = [*C.WORDS, "unknown"]
 SHORT = [*L.EXPANSIONS, "rdt/anc", "tb-act"]
+#: What answers begin and end with: failures in other cases of letters, and ways of asking back or not.
+BEFORE = ["The answer is:", "I can help with dosing.  Tell me", "I can help. Tell me", "It DOES NOT contain any Meaningful information.", "Tell me more", "Please share more.", "What specific area is it?", "Can you provide more details?", "Tell me what type", "So the provided text does not contain it;"]
+AFTER = ["", "Should I go on?", "Would you like me to list the doses of all drugs that the patient was given on the ward, one by one?", "want me to stop? No", "Want me to stop?", "That is all!", "No meaningful information to process", "and tell me more about your patient", "I should know."]
 TERMS = [t.replace(".*", " and ") for terms in C.DRUG_CLASSES.values() for t in terms]
 
 
@@ -60,6 +65,19 @@ def clinical_rewrite(spark, sf_dir):
     return planted(spark, sf_dir).select("conv_id", "turn", F.md5(said).alias("rewritten_md5"))
 
 
+def answer_checks(spark, sf_dir):
+    """Turns as answers that fail, ask back or are plain, by what a rule of the row has them say before and after their text."""
+    said = F.concat_ws(" ", _pick(BEFORE, 1), F.when(F.col("turn") % 3 > 0, F.col("text")), _pick(AFTER, 7))
+    c = F.col("said")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said")).select("conv_id", "turn", P.compiler_error(c).alias("failed"), P.deflection(c).alias("deflects"), P.clinical_presence(c, VOCABULARY).alias("clinical"))
+
+
+def session_topics(spark, sf_dir):
+    """The category of what each turn says, whole, and what its conversation keeps of a complaint since the category last changed."""
+    turns = planted(spark, sf_dir).select("conv_id", "turn", F.nullif(U.category(F.col("said")), F.lit("general")).alias("topic"), F.when(F.length("said") % 3 == 0, F.col("turn")).alias("complaint"))
+    return PS.cleared_on_shift(turns, "topic", "complaint").select("conv_id", "turn", "topic", "shifted", "kept")
+
+
 def drug_class_boost(spark, sf_dir):
     """Passages that name a drug class, over documents that name one too, by the words of the passage alone."""
     term = lambda key, by: F.element_at(F.array(*map(F.lit, TERMS)), (F.pmod(F.col(key) * by, F.lit(len(TERMS))) + 1).cast("int"))
@@ -71,7 +89,7 @@ def drug_class_boost(spark, sf_dir):
     return R.class_boost(PR.word_lists(spark, sf_dir, 20).drop("rank"), asked, docs, classes, C.GENERIC_TITLE, C.BOOSTED_TYPES)
 
 
-QUERIES = {f.__name__: f for f in (clinical_normalize, clinical_narrative, clinical_synonyms, clinical_rewrite, drug_class_boost)}
+QUERIES = {f.__name__: f for f in (clinical_normalize, clinical_narrative, clinical_synonyms, clinical_rewrite, answer_checks, session_topics, drug_class_boost)}
 
 
 def _text(value: str) -> str:
@@ -118,6 +136,18 @@ w AS (SELECT conv_id, turn, string_split_regex(z, '\\s+') AS w, list_transform(s
 SELECT conv_id, turn, md5(array_to_string(list_filter(w, lambda v, i: b[i] <> '' AND list_position(b, b[i]) = i), ' ')) AS rewritten_md5 FROM w"""
 
 
+def _deflects() -> str:
+    low = "lower(trim(said))"
+    last = "trim(coalesce(list_filter(string_split_regex(low, '[.!]\\s*'), lambda x: trim(x) <> '')[-1], ''))"
+    phrases = "|".join(L.DEFLECTIONS)
+    return f"""(SELECT regexp_matches(low, '^i can help with .+\\.\\s*tell me') OR (len(string_split_regex(low, '\\s+')) < 60 AND regexp_matches(low, 'tell me (more|what|which|about)')) OR regexp_matches(low, {_text(phrases)})
+OR regexp_matches({last}, '\\b(?:should i|want me to|would you like me to)\\b.{{0,60}}\\?$') FROM (SELECT {low} AS low))"""
+
+
+_ANSWER = f"t AS (SELECT conv_id, turn, concat_ws(' ', {_at(BEFORE, 1)}, CASE WHEN turn % 3 > 0 THEN text END, {_at(AFTER, 7)}) AS said FROM conversations)"
+_FAILED = " OR ".join(f"contains(lower(said), {_text(p)})" for p in L.COMPILER_ERRORS)
+_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower(said), '{PU.re2(p)}') THEN '{name}'" for name, p in L.CATEGORIES) + " END"
+
 _TOLD = ", ".join(f"CASE WHEN regexp_matches(lower(said), {_text(p)}) THEN {_list(terms)} ELSE [] END" for p, terms in C.SYMPTOMS + C.ACTIONS)
 _CLASSES = ", ".join(f"({_text(name)}, {_text(t)})" for name, terms in C.DRUG_CLASSES.items() for t in terms)
 
@@ -127,6 +157,11 @@ ORACLES = {
 SELECT conv_id, turn, array_to_string(list_filter(a, lambda w, i: list_position(a, w) = i), ' ') AS terms FROM a""",
     "clinical_synonyms": f"WITH {_SAID} SELECT conv_id, turn, md5({_expanded('said')}) AS expanded_md5 FROM t",
     "clinical_rewrite": _rewrite(),
+    "answer_checks": f"""WITH {_ANSWER} SELECT conv_id, turn, {_FAILED} AS failed, {_deflects()} AS deflects, list_has_any(list_filter(string_split_regex(regexp_replace(lower(said), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: length(w) >= 2), {_list(VOCABULARY)}) AS clinical FROM t""",
+    "session_topics": f"""WITH {_SAID}, c AS (SELECT conv_id, turn, nullif({_TOPIC}, 'general') AS topic, CASE WHEN length(said) % 3 = 0 THEN turn END AS complaint FROM t),
+s AS (SELECT *, coalesce(topic <> last_value(topic IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS shifted FROM c),
+p AS (SELECT *, sum(CAST(shifted AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM s)
+SELECT conv_id, turn, topic, shifted, last_value(complaint IGNORE NULLS) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM p""",
     "drug_class_boost": f"""WITH {PR.BM25}, l AS (SELECT * FROM (SELECT *, {PR.ROW} AS rank FROM bm) WHERE rank <= 20), r AS (SELECT * FROM (VALUES {_CLASSES}) v(class, term)),
 a AS (SELECT item_id AS query_id, lower(concat_ws(' ', text, CASE WHEN item_id % 3 > 0 THEN {_at(TERMS, 7, 'item_id * {}')} END)) AS said FROM benchmark), nm AS (SELECT DISTINCT query_id, class FROM a JOIN r ON contains(said, term)),
 d2 AS (SELECT doc_id AS chunk_id, {_list([*C.BOOSTED_TYPES, "calculator"])}[CAST(doc_id % 5 + 1 AS INT)] AS type, lower(CASE WHEN doc_id % 4 = 0 THEN 'Dosage of it' ELSE string_split(text, chr(10))[1] END) AS title, lower(concat_ws(' ', text, CASE WHEN doc_id % 2 = 0 THEN {_at(TERMS, 3, 'doc_id * {}')} END)) AS body FROM documents),
