@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from loamgrid.shared import written
+
 
 def build_events(raw: DataFrame, salt: str) -> DataFrame:
     """Upload-ready events: the user as a salted hash, the words of the payload counted, the payload itself left out. raw: (event_id, ts, user_id, event_type, props)."""
@@ -60,10 +62,10 @@ def _last_accepted(t: np.ndarray, width: int) -> np.ndarray:
     return last[:n]
 
 
-def throttled(reports: DataFrame, seconds: int = 300, windows: int = 64) -> DataFrame:
+def throttled(reports: DataFrame, seconds: int = 300, windows: int = 64, fan: int = 64) -> DataFrame:
     """At most one report of a kind in a window that starts anew with each accepted report. reports: (kind, ts, id).
 
-    Each kind is cut into ranges of so many windows. A range maps the time from which it may accept to the last time that it accepts; only times in its first window can matter for that. The maps of a kind are applied in order, in a task that sees no reports but the first window of each range; then each range is walked from where it may accept. Null times are left out.
+    Each kind is cut into ranges of so many windows. A range maps the time from which it may accept to the last time that it accepts; only times in its first window can matter for that. The maps of fan neighbouring ranges are composed to one, those of fan such stretches again, until a kind has fan of them; on the way down each learns from where it may accept, and at last each range is walked from there. No task sees more than fan maps or one range. Null times are left out.
     """
     width = seconds * 1_000_000
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -75,8 +77,20 @@ def throttled(reports: DataFrame, seconds: int = 300, windows: int = 64) -> Data
         some = np.arange(min(len(t), int(np.searchsorted(t, t[0] // (width * windows) * width * windows + width, "right")) + 1))
         return pd.DataFrame({"kind": [group["kind"].iloc[0]], "__range": [group["__range"].iloc[0]], "times": [t[some]], "exits": [t[_last_accepted(t, width)[some]]]})
 
+    def composed(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [(np.asarray(t), np.asarray(e)) for t, e in zip(*[group.sort_values("__range")[c] for c in ("times", "exits")], strict=True)]
+        # After all times of the first range, the first time of the next one is the one that is accepted.
+        times = np.append(parts[0][0], parts[1][0][:1] if len(parts) > 1 else [])
+        free = np.append(parts[0][1], parts[1][1][:1] if len(parts) > 1 else []) + width
+        for k, (t, e) in enumerate(parts[1:], 1):
+            some = np.arange(len(free) - (k == 1))
+            at = np.searchsorted(t, free[some])
+            free[some[at < len(t)]] = e[at[at < len(t)]] + width
+        return pd.DataFrame({"kind": [group["kind"].iloc[0]], "__range": [group["__range"].iloc[0] // fan], "times": [times.astype(np.int64)], "exits": [(free - width).astype(np.int64)]})
+
     def entered(group: pd.DataFrame) -> pd.DataFrame:
-        group, free, entries = group.sort_values("__range"), np.iinfo(np.int64).min, []
+        group, entries = group.sort_values("__range"), []
+        free = int(group["begin"].iloc[0])
         for times, exits in zip(group["times"], group["exits"], strict=True):
             entries.append(free)
             k = int(np.searchsorted(times, free))
@@ -94,8 +108,17 @@ def throttled(reports: DataFrame, seconds: int = 300, windows: int = 64) -> Data
 
     named = [kind, ST.StructField("__range", ST.LongType())]
     times = ST.ArrayType(ST.LongType())
-    maps = ranged.select("kind", "__range", "__at").groupBy("kind", "__range").applyInPandas(mapped, ST.StructType([*named, ST.StructField("times", times), ST.StructField("exits", times)]))
-    entries = maps.groupBy("kind").applyInPandas(entered, ST.StructType([*named, ST.StructField("free", ST.LongType())])).withColumnsRenamed({"kind": "__kind", "__range": "__r"})
+    mapped_type, entry_type = ST.StructType([*named, ST.StructField("times", times), ST.StructField("exits", times)]), ST.StructType([*named, ST.StructField("free", ST.LongType())])
+    levels = [written(ranged.select("kind", "__range", "__at").groupBy("kind", "__range").applyInPandas(mapped, mapped_type), "maps")]
+    above = F.floor(F.col("__range") / fan)
+    while (levels[-1].groupBy("kind").count().agg(F.max("count")).first()[0] or 0) > fan:
+        levels.append(written(levels[-1].groupBy("kind", above).applyInPandas(composed, mapped_type), "maps"))
+    entries = levels[-1].withColumn("begin", F.lit(np.iinfo(np.int64).min)).groupBy("kind").applyInPandas(entered, entry_type)
+    renamed = lambda df: df.withColumnsRenamed({"kind": "__kind", "__range": "__r"})
+    for lower in reversed(levels[:-1]):
+        begins = lower.join(renamed(entries).withColumnRenamed("free", "begin"), F.col("kind").eqNullSafe(F.col("__kind")) & (above == F.col("__r"))).drop("__kind", "__r")
+        entries = begins.groupBy("kind", above).applyInPandas(entered, entry_type)
+    entries = renamed(entries)
     placed = ranged.join(entries, F.col("kind").eqNullSafe(F.col("__kind")) & (F.col("__range") == F.col("__r"))).drop("__kind", "__r")
     return placed.groupBy("kind", "__range").applyInPandas(walked, reports.select("kind", "ts", "id").schema)
 

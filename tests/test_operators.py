@@ -91,8 +91,16 @@ def test_throttle_across_ranges(spark):
                 want.append((str(k), i))
                 last = ts
     df = spark.createDataFrame(rows, "kind string, ts timestamp, id long")
-    for windows in (1, 3, 64):
-        assert sorted((str(r.kind), r.id) for r in A.throttled(df, 300, windows).collect()) == sorted(want)
+    for windows, fan in ((1, 2), (1, 5), (3, 2), (3, 64), (64, 64)):
+        assert sorted((str(r.kind), r.id) for r in A.throttled(df, 300, windows, fan).collect()) == sorted(want)
+    sparse = [("a", start + dt.timedelta(seconds=s), i) for i, s in enumerate(sorted(rng.sample(range(400_000), 150)))]
+    want, last = [], None
+    for _, ts, i in sparse:
+        if last is None or (ts - last).total_seconds() >= 300:
+            want.append(i)
+            last = ts
+    for windows, fan in ((1, 2), (2, 3)):
+        assert sorted(r.id for r in A.throttled(spark.createDataFrame(sparse, "kind string, ts timestamp, id long"), 300, windows, fan).collect()) == want
 
 
 def test_ack_none_and_all(spark):
