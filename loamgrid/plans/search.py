@@ -89,6 +89,7 @@ def bundle_integrity(spark, sf_dir):
     listed = I.manifest(own)
     place = F.col("bundle").cast("long") + F.col("block")
     came = own.filter(place % 11 != 0).withColumn("bytes", F.when(place % 7 == 0, F.concat(F.col("bytes"), F.lit(b"x"))).otherwise(F.col("bytes")))
+    own, came = I.digested(own), I.digested(came)
     first = I.checked(came, listed)
     states = first.groupBy("bundle").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("whole", "damaged", "missing")])
     whole = I.resumed(came, own.join(I.wanted(came, listed), ["bundle", "block"], "left_semi"), listed)

@@ -26,9 +26,16 @@ def blocks(archives: DataFrame, size: int = BLOCK) -> DataFrame:
     return numbered.select("bundle", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("bytes"))
 
 
+def digested(pieces: DataFrame) -> DataFrame:
+    """Blocks with size and sha256, computed where they lie, so that a plan that asks for no bytes moves none."""
+    if "sha256" in pieces.columns:
+        return pieces
+    return pieces.withColumns({"size": F.octet_length("bytes"), "sha256": F.sha2("bytes", 256)})
+
+
 def manifest(pieces: DataFrame) -> DataFrame:
     """(bundle, block, size, sha256) of blocks."""
-    return pieces.select("bundle", "block", F.octet_length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+    return digested(pieces).select("bundle", "block", "size", "sha256")
 
 
 def root(listed: DataFrame) -> DataFrame:
@@ -53,9 +60,10 @@ def wanted(pieces: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def resumed(pieces: DataFrame, fetched: DataFrame, listed: DataFrame) -> DataFrame:
-    """The whole blocks of a manifest among those had and those fetched, one copy of each."""
-    good = pieces.unionByName(fetched).withColumn("sha256", F.sha2("bytes", 256)).join(listed.select("bundle", "block", "sha256"), ["bundle", "block", "sha256"], "left_semi")
-    return good.dropDuplicates(["bundle", "block"]).select("bundle", "block", "bytes")
+    """The whole blocks (bundle, block, bytes, size, sha256) of a manifest among those had and those fetched, one copy of each."""
+    both = digested(pieces).unionByName(digested(fetched))
+    good = both.join(listed.select("bundle", "block", "sha256"), ["bundle", "block", "sha256"], "left_semi")
+    return good.dropDuplicates(["bundle", "block"]).select("bundle", "block", "bytes", "size", "sha256")
 
 
 def assembled(pieces: DataFrame, listed: DataFrame) -> DataFrame:
