@@ -97,6 +97,14 @@ def _shingle_texts(words: str, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))).otherwise(F.array(F.array_join(words, " ")))
 
 
+def _shortened(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(of, m, run, size, alone): items (of, m, item) less as many words at their ends as leave the share `least` of their shingles; such a run counts where it is a whole document."""
+    most = F.floor((F.col("m") - k + 1) * (1 - least) + 1e-9).cast("int")
+    less = F.flatten(F.transform(F.sequence(F.lit(1), most), lambda d: F.transform(F.sequence(F.lit(0), d), lambda a: F.slice("item", a + 1, F.col("m") - d))))
+    cut = texts.filter(most >= 1).select("of", "m", F.explode(less).alias("words"))
+    return cut.select("of", "m", F.xxhash64("words").alias("run"), F.size("words").alias("size"), F.lit(True).alias("alone"))
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -117,7 +125,8 @@ def decontaminate(
     first or last, or of one half, differs from the item's in at most RADIUS bits; a pair counts if the weighted
     Jaccard similarity of the k-word shingles (weight: number of times a shingle stands there) is at least `least`. An
     item of so few shingles that one other word brings it under `least` must stand there word by word and is looked for
-    by a hash of all its words; this holds for items of fewer than k words too. Null and empty texts match nothing.
+    by a hash of all its words, or of all but some at its ends where the document is no more than that; items of fewer
+    than k words must stand there whole. Null and empty texts match nothing.
     Rows equal in the carried columns and the text are reported once; items of equal text are all reported; a null
     item_id is reported as null. Carried columns may have any name but those of the result, before which they give way.
     Fingerprints of the items and places found are broadcast up to most_broadcast rows (counted), joined by shuffle
@@ -152,10 +161,18 @@ def decontaminate(
         met = keyed.join(broadcast_if_small(known.drop("blocks"), most_broadcast), "key").filter(F.bit_count(F.col("__print").bitwiseXOR(F.col("print"))) <= RADIUS)
         start = F.greatest(F.lit(0), F.least(F.col("__j") * BLOCK - F.col("ahead"), F.col("__n") - F.col("m")))
         found.append(met.select("__k1", "__k2", "of", "m", start.alias("start")))
-    for m in lengths:
-        runs = F.when(F.col("__n") >= m, F.transform(F.sequence(F.lit(0), F.col("__n") - m), lambda i: F.xxhash64(F.slice("__words", i + 1, m))))
-        spread = worded.select("__k1", "__k2", F.posexplode_outer(runs).alias("start", "of"))
-        found.append(spread.join(broadcast_if_small(texts.filter(F.col("m") == m).select("of", "m"), most_broadcast), "of").select("__k1", "__k2", "of", "m", "start"))
+    if lengths:
+        # All runs of these lengths, and short documents as they are, in one pass; a document's own run may be an item less some words at its ends.
+        held = texts.filter(F.col("m") < short).select("of", "m", F.col("of").alias("run"), F.col("m").alias("size"), F.lit(False).alias("alone"))
+        known_runs = written(held.unionByName(_shortened(texts.filter(F.col("m") < short), k, least)), "runs")
+        run = lambda size: lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), F.xxhash64(F.slice("__words", i + 1, size)).alias("run"))
+        none = F.array().cast("array<struct<size:int,start:int,run:bigint>>")
+        runs = [F.when(F.col("__n") >= m, F.transform(F.sequence(F.lit(0), F.col("__n") - m), run(m))).otherwise(none) for m in lengths]
+        whole = F.struct(F.col("__n").alias("size"), F.lit(0).alias("start"), F.xxhash64("__words").alias("run"))
+        runs.append(F.when((F.col("__n") > 0) & (F.col("__n") < short), F.array(whole)).otherwise(none))
+        spread = worded.select("__k1", "__k2", "__n", F.inline_outer(F.concat(*runs)))
+        met = spread.join(broadcast_if_small(known_runs, most_broadcast), ["run", "size"]).filter(~F.col("alone") | (F.col("size") == F.col("__n")))
+        found.append(met.select("__k1", "__k2", "of", "m", "start"))
     places = docs.sparkSession.createDataFrame([], "__k1 long, __k2 long, of long, m int, start int")
     for df in found:
         places = places.unionByName(df)

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing columns and an empty table."""
 
+from collections import Counter
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,18 @@ def test_quality_rules(docs):
     assert len(out) == len(ROWS) and not any(r.kept for r in out)
     assert [(r.n_words, r.n_repeat_words) for r in out if r.doc_id == 3] == [(20000, 20000)]
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_short_items_and_documents_shorter_than_they(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve".split()
+    items = {1: item, 2: item[:9], 3: ["a", "b", "c"], 4: item[:8]}
+    texts = [item[:11], item[1:], item[:10], item, ["x", *item], ["x", *item[:11]], item[:8], item[:9], ["a", "b", "c"], ["a", "b"], item[1:11], [], [*item[:9], *item[:9]], ["b", "a", "b", "c"]]
+
+    def similar(a, b):
+        a, b = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a, b))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    want = {(d, i) for d, w in enumerate(texts) for i, it in items.items() for s in range(max(1, len(w) - len(it) + 1)) if w and similar(w[s : s + len(it)], it) >= 0.8 and (len(it) >= 5 or w[s : s + len(it)] == it)}
+    make = lambda rows, names: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], names)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(make(enumerate(texts), "doc_id long, text string"), make(items.items(), "item_id long, text string")).collect()}
+    assert got == want and {(0, 1), (1, 1), (3, 4), (12, 4)} <= want
