@@ -26,11 +26,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _spaced(text: Column) -> Column:
     """No-break spaces count as white space, as in the source of the rules."""
-    return F.translate(text, " ", " ")
+    return F.replace(text, F.lit("\u00a0"), F.lit(" "))
+
+
+def lowered(text: Column) -> Column:
+    return F.lower(_spaced(text))
 
 
 def split_lower(text: Column) -> Column:
-    return F.split(F.lower(_spaced(text)), SPACE)
+    return F.split(lowered(text), SPACE)
 
 
 def at_least(tokens: Column, n: int) -> Column:
@@ -39,7 +43,7 @@ def at_least(tokens: Column, n: int) -> Column:
 
 def bare(text: Column) -> Column:
     """Lower case without anything but word characters and white space."""
-    return F.regexp_replace(F.lower(_spaced(text)), "[^a-z0-9_\\s]", "")
+    return F.regexp_replace(lowered(text), "[^a-z0-9_\\s]", "")
 
 
 def hybrid_tokens(text: Column) -> Column:
