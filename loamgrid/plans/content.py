@@ -15,6 +15,7 @@ from loamgrid.operators import store as S
 from loamgrid.plans import retrieval as PR
 from loamgrid.plans import understanding as PU
 from loamgrid.plans.retrieval import table
+from loamgrid.shared import written
 
 TURN_WORDS = "the that tion with".split()
 TRIGGERS, ALWAYS = ["the", "it", "of", "thanks", "bye"], ["it", "bye"]
@@ -103,7 +104,7 @@ def recursive_text(spark, sf_dir):
 
 
 def tier_fallback(spark, sf_dir):
-    lists = PR.vector_lists(spark, sf_dir, 10).drop("rank").filter(F.col("query_id") != F.col("chunk_id"))
+    lists = written(PR.vector_lists(spark, sf_dir, 10).drop("rank"), "lists").filter(F.col("query_id") != F.col("chunk_id"))
     near = lists.filter("score >= 0.8")
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label"))
     same = lists.filter("score >= 0.5").join(labels.filter("label % 2 = 0"), "chunk_id").select("query_id", "chunk_id", "score")
