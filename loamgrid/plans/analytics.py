@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -219,11 +221,12 @@ def bundle_scan(spark, sf_dir):
     chunk = lambda content: F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("faq").alias("type"), content.alias("content"), F.array("source").alias("aspects")), {"ignoreNullFields": "false"})
     lines = F.concat_ws("\n", chunk(F.struct(F.struct(F.col("text").alias("answer")).alias("en"))), F.lit("not json"), chunk(F.lit(None).cast("struct<en:string>")))
 
-    @F.pandas_udf("binary")
-    def zipped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: B.zipped([("content/chunks.jsonl", t.encode("utf-8", "surrogatepass"))]))
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((path.as_py(), B.zipped([("content/chunks.jsonl", text.as_buffer().to_pybytes())])) for batch in batches for path, text in zip(batch["path"], batch["text"], strict=True))
+        return B.in_batches(rows, ["path", "content"])
 
-    found = B.chunks(B.unzipped(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), zipped(lines).alias("content"))))
+    bundles = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), lines.alias("text")).mapInArrow(zipped, "path string, content binary")
+    found = B.chunks(B.unzipped(bundles))
     return found.select(F.col("id").cast("long").alias("doc_id"), F.length(F.get_json_object("content", "$.en.answer")).cast("long").alias("n_chars"), F.get("aspects", 0).alias("aspect"))
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,15 +30,31 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 def unzipped(archives: DataFrame) -> DataFrame:
     """(bundle, path, bytes) of every entry of zip files (path, content); slashes around names are cut, folders left out."""
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for bundle, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.strip("/") and not name.endswith("/"):
-                            yield pd.DataFrame({"bundle": [bundle], "path": [name.strip("/")], "bytes": [z.read(name)]})
-
-    return archives.mapInPandas(unzip, "bundle string, path string, bytes binary")
+    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[tuple[str, str, bytes]]:
+            for batch in batches:
+                for bundle, content in zip(batch["path"], batch["content"], strict=True):
+                    with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                        for name in z.namelist():
+                            if name.strip("/") and not name.endswith("/"):
+                                yield bundle.as_py(), name.strip("/"), z.read(name)
+
+        return in_batches(entries(), ["bundle", "path", "bytes"])
+
+    return archives.select("path", "content").mapInArrow(unzip, "bundle string, path string, bytes binary")
+
+
+def in_batches(rows: Iterator[tuple], names: list[str], most_bytes: int = 4_000_000, most_rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Rows whose last value is bytes as batches of about most_bytes, so that a task holds no more of them; a longer row stands alone."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most_bytes or len(held) >= most_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
 
 
 def _text(files: DataFrame, path: str) -> DataFrame:
