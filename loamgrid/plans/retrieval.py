@@ -106,8 +106,7 @@ def confidence_tier(spark, sf_dir):
 
 
 def rrf_fusion(spark, sf_dir):
-    words, shared = (word_lists(spark, sf_dir, 20, shared=x) for x in (False, True))
-    return R.rrf(words, shared)
+    return R.rrf(*R.several_word_lists(passages(spark, sf_dir), chunks(spark, sf_dir), 20, [{"shared": False}, {"shared": True}]))
 
 
 def _graph(spark, sf_dir):
